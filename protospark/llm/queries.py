@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import langid, mixing, quality, sharding, simhash
 from .common import cut, word_count
 
 
@@ -58,5 +58,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op6_simhash": op6_simhash, "op5_sharding": op5_sharding}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", quality.judge(model, F.col("text")).alias("q"))
+    return found.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")])
+
+
+def held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()))
+    found = docs.select("doc_id", held_out().alias("held_out"), langid.identify(model, F.col("text")).alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.cosine", "l.rejected")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_quality": op4_quality, "op10_langid": op10_langid, "op6_simhash": op6_simhash, "op5_sharding": op5_sharding}
 ORACLES = {"op1_mixing": OP1_SQL}
