@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import cut, ranked
 
 #: Random offsets drawn per source, in units of 2**-20; the one whose words come nearest the target is used.
 DRAWS = 8
+#: Tables of a row per source are broadcast up to so many sources, and joined by shuffle beyond.
+MANY_SOURCES = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
@@ -62,7 +64,9 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     spread = ranked(x, [F.col("source").asc_nulls_last(), F.col("_class"), F.col("_h"), F.col("size")], "_rank")
     sizes = spread.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     targets = source_targets(sizes, weights, share, most)
-    known = spread.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    targets = cut(targets)
+    small = F.broadcast if targets.count() <= MANY_SOURCES else lambda t: t
+    known = spread.join(small(targets.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
     place = F.col("_rank") - F.col("first_rank")
 
     def copies(offset: Column) -> Column:
@@ -71,7 +75,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     taken = known.groupBy("source", "target").agg(*[F.sum(copies(_offset(F.col("source"), k, seed)) * F.col("size")).alias(f"d{k}") for k in range(DRAWS)])
     away = F.array_min(F.array(*[F.struct(F.abs(F.col(f"d{k}") - F.col("target")).alias("by"), F.lit(k).alias("k"), _offset(F.col("source"), k, seed).alias("offset")) for k in range(DRAWS)]))
     chosen = taken.select(F.col("source").alias("_chosen"), away["offset"].alias("_offset"))
-    known = known.join(chosen, F.col("source").eqNullSafe(F.col("_chosen")))
+    known = known.join(small(chosen), F.col("source").eqNullSafe(F.col("_chosen")))
     return known.select("row", "size", "source_size", "target", copies(F.col("_offset")).alias("copies"))
 
 

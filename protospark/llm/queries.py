@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding, simhash
-from .common import cut, word_count
+from . import langid, mixing, quality, sharding, simhash, tokenbin
+from .common import cut, shared_dir, word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,5 +78,17 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.cosine", "l.rejected")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_quality": op4_quality, "op10_langid": op10_langid, "op6_simhash": op6_simhash, "op5_sharding": op5_sharding}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/protospark/{uuid.uuid4().hex}"
+    tokenbin.write(table(spark, sf_dir, "documents"), out, tokenizer_path())
+    return tokenbin.checksums(spark, out).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_tokenbin": op3_tokenbin, "op4_quality": op4_quality, "op10_langid": op10_langid, "op6_simhash": op6_simhash, "op5_sharding": op5_sharding}
 ORACLES = {"op1_mixing": OP1_SQL}
