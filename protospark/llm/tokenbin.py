@@ -77,21 +77,38 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
+        vocab = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.bytes[list(vocab.values())] = [len(t) for t in vocab]  # a byte-level token has a character for each byte
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, all put one after the other for the library and told apart by their tokens' bytes."""
+        lead = [" " + u for u in units]
+        whole = ["".join(lead[i : i + 4096]) for i in range(0, len(lead), 4096)]
+        raw = b"".join(self._library(whole))
+        ends = np.cumsum([len(u.encode()) for u in lead])
+        reached = np.cumsum(self.bytes[np.frombuffer(raw, "<u4")])
+        at = np.searchsorted(reached, ends)
+        if (reached[at] != ends).any():
+            raise ValueError("a token crosses a unit's end")
+        cuts = [0, *(4 * (at + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
         if len(self.known) > CACHE:
             self.known, self.heads = {}, {}
         cut = {i: UNIT.split(t) for i, t in enumerate(texts) if self.by_unit and not any(s in t for s in self.special)}
-        heads = [units[0] for units in cut.values()]
-        for cache, lead, wanted in ((self.known, " ", set().union(*cut.values())), (self.heads, "", set(heads))):
-            fresh = list(wanted.difference(cache))
-            cache.update(zip(fresh, self._library([lead + u for u in fresh])))
+        first = {i: units.pop(0) for i, units in cut.items()}
+        for cache, wanted, of in ((self.known, cut.values(), self._units), (self.heads, [first.values()], self._library)):
+            if fresh := list(set().union(*wanted).difference(cache)):
+                cache.update(zip(fresh, of(fresh)))
         rest = iter(self._library([t for i, t in enumerate(texts) if i not in cut]))
         known, heads = self.known.__getitem__, self.heads.__getitem__
-        return [heads(cut[i][0]) + b"".join(map(known, cut[i][1:])) if i in cut else next(rest) for i in range(len(texts))]
+        return [heads(first[i]) + b"".join(map(known, cut[i])) if i in cut else next(rest) for i in range(len(texts))]
 
 
 _encoders: dict[str, Encoder] = {}
