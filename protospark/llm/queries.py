@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding, simhash, tokenbin
+from . import chat, embeddings, langid, mixing, quality, sharding, simhash, tokenbin
 from .common import cut, shared_dir, word_count
 
 
@@ -90,5 +90,44 @@ def op3_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.checksums(spark, out).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_tokenbin": op3_tokenbin, "op4_quality": op4_quality, "op10_langid": op10_langid, "op6_simhash": op6_simhash, "op5_sharding": op5_sharding}
-ORACLES = {"op1_mixing": OP1_SQL}
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
+
+
+OP2_SQL = """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+g AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+h AS (SELECT vec_id, label, list_transform(v, lambda x: x / n) AS u FROM g WHERE n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.u, b.u) >= 0.93),
+c AS (WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id
+"""
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit(chat.END + chat.START + "assistant ok")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(own)
+    return chat.digest(cut(chat.windows(talks))).withColumnRenamed("conv", "conv_id")
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM t),
+h AS (SELECT *, k = 1 AND role = 'system' AS head, n + length(role) + 24 AS chars, CASE WHEN k = 1 AND role = 'system' THEN 0 ELSE (n + 3) // 4 + 5 END AS cost FROM k),
+p AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM h),
+s AS (SELECT *, upto - cost AS fr, CASE WHEN (upto - cost) // 1024 = (upto - 1) // 1024 OR head THEN 2 * ((upto - cost) // 1024) ELSE 2 * ((upto - 1) // 1024) - 1 END AS span FROM p),
+o AS (SELECT *, CASE WHEN span <> lag(span) OVER w THEN
+        coalesce(CASE WHEN lag(fr, 1) OVER w >= fr - 256 AND NOT lag(head, 1) OVER w THEN lag(chars, 1) OVER w END, 0) + coalesce(CASE WHEN lag(fr, 2) OVER w >= fr - 256 AND NOT lag(head, 2) OVER w THEN lag(chars, 2) OVER w END, 0)
+      + coalesce(CASE WHEN lag(fr, 3) OVER w >= fr - 256 AND NOT lag(head, 3) OVER w THEN lag(chars, 3) OVER w END, 0) + coalesce(CASE WHEN lag(fr, 4) OVER w >= fr - 256 AND NOT lag(head, 4) OVER w THEN lag(chars, 4) OVER w END, 0) ELSE 0 END AS again
+      FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+g AS (SELECT conv_id, count(*) AS n_turns, coalesce(sum(chars) FILTER (WHERE NOT head), 0) + sum(again) + coalesce(sum(chars) FILTER (WHERE head), 0) * greatest(1, count(DISTINCT span) FILTER (WHERE NOT head)) AS formatted_chars,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS said, coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS loss FROM o GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_embeddings": op2_embeddings, "op7_chat": op7_chat, "op3_tokenbin": op3_tokenbin, "op4_quality": op4_quality, "op10_langid": op10_langid, "op6_simhash": op6_simhash, "op5_sharding": op5_sharding}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_embeddings": OP2_SQL, "op7_chat": OP7_SQL}
