@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, langid, mixing, quality, sharding, simhash, tokenbin
+from . import chat, embeddings, langid, licenses, mixing, packing, quality, sharding, simhash, tokenbin
 from .common import cut, shared_dir, word_count
 
 
@@ -129,5 +129,26 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(said) AS turns_sha256
 """
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_embeddings": op2_embeddings, "op7_chat": op7_chat, "op3_tokenbin": op3_tokenbin, "op4_quality": op4_quality, "op10_langid": op10_langid, "op6_simhash": op6_simhash, "op5_sharding": op5_sharding}
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", licenses.licenses(F.col("text")).alias("spans"))
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("spans.license")), ";").alias("licenses"), "spans")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (word_count(F.col("text")) + 1).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"))
+    return packing.pack(cut(docs), F.col("size"), F.col("source"), F.col("cluster")).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_embeddings": op2_embeddings,
+    "op3_tokenbin": op3_tokenbin,
+    "op4_quality": op4_quality,
+    "op5_sharding": op5_sharding,
+    "op6_simhash": op6_simhash,
+    "op7_chat": op7_chat,
+    "op8_licenses": op8_licenses,
+    "op9_packing": op9_packing,
+    "op10_langid": op10_langid,
+}
 ORACLES = {"op1_mixing": OP1_SQL, "op2_embeddings": OP2_SQL, "op7_chat": OP7_SQL}
