@@ -1,4 +1,404 @@
-"""All queries over the driver's tables, and the SQL they must agree with."""
+"""All queries over the driver's tables, and the SQL they must agree with.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no DNA, so both sides derive it from texts by the same rule: letters only, in upper case, mapped to the
+four bases in turn. `benchmark` makes the small genome, `documents` the large one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dna
+from ..operators import annotate, controls, intervals, neighbors, report, scan, scores, targets
+from ..sources.sinks import flat
+from .design import Options, attached, flagged_targets, guide_key, guide_table
+
+LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
+GENOMES = {"small": ("benchmark", "item_id"), "large": ("documents", "doc_id")}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+RC = "translate(reverse({}), 'ACGTMRWSYKVHDBXN', 'TGCAKYWSRMBDHVXN')"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name; whole numbers come out as longs."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.select(*[F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, t in out.dtypes])
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def genome(spark: SparkSession, sf_dir: str, which: str = "small") -> DataFrame:
+    name, key = GENOMES[which]
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).alias("record_idx"), F.col(key).cast("string").alias("seqid"), F.translate(letters, LETTERS, BASES).alias("seq"))
+
+
+def features(spark: SparkSession, sf_dir: str, which: str = "small") -> DataFrame:
+    """A feature of 40 bases every 60, on alternating strands."""
+    x = genome(spark, sf_dir, which).select("seqid", F.length("seq").alias("n")).where("n > 0")
+    x = x.select("seqid", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 60).cast("int"))).alias("k"))
+    return x.select(F.col("seqid").alias("chrom"), (F.col("k") * 60).alias("fs"), (F.col("k") * 60 + 40).alias("fe"), F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("fstrand"), F.md5(F.concat_ws("|", "seqid", "k")).alias("feature"))
+
+
+def qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key-value rows: brand and type of every part, its size where that is even."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    pairs = F.array(F.struct(F.lit("brand").alias("key"), F.col("p_brand").alias("value")), F.struct(F.lit("type").alias("key"), F.col("p_type").alias("value")), F.struct(F.lit("size").alias("key"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).alias("value")))
+    return p.select(F.col("p_partkey").cast("string").alias("feature_id"), F.explode(pairs).alias("q")).select("feature_id", "q.*").where("value is not null")
+
+
+def options(**more) -> Options:
+    return Options(**{"lsr": 10, "dist": 2, "knum": 5, "before": 100, "into": 200} | more)
+
+
+def seq_sql(which: str = "small") -> str:
+    name, key = GENOMES[which]
+    return f"sequences AS (SELECT {key} AS record_idx, CAST({key} AS VARCHAR) AS seqid, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM {name})"
+
+
+def scan_sql(pam: str = "NGG", orientation: str = "3prime", length: int = 20, which: str = "small") -> str:
+    p, three = len(pam), orientation == "3prime"
+    ahead, back = dna.iupac_regex(pam), dna.iupac_regex(dna.reverse_complement_text(pam))
+    parts = []
+    for strand, pattern in (("TRUE", ahead), ("FALSE", back)):
+        after = (strand == "TRUE") != three
+        start = f"s + {p}" if after else f"s - {length}"
+        at30 = "s - 3" if after else f"s + {p} - 27"
+        turn = (lambda x: x) if strand == "TRUE" else RC.format
+        parts.append(f"""SELECT record_idx, seqid, {turn(f"substr(seq, {start} + 1, {length})")} AS target, {turn("w")} AS exact_pam, CAST({start} AS BIGINT) AS start, CAST({start} + {length} AS BIGINT) AS stop,
+            {strand} AS strand, {not three} AS pam_orientation, CASE WHEN {at30} >= 0 AND {at30} + 30 <= n THEN {turn(f"substr(seq, CAST({at30} + 1 AS BIGINT), 30)")} END AS target_seq30
+            FROM words WHERE regexp_full_match(w, '{pattern}') AND {start} >= 0 AND {start} + {length} <= n""")
+    return f"""{seq_sql(which)}, words AS (SELECT *, substr(seq, s + 1, {p}) AS w FROM (SELECT *, length(seq) AS n, unnest(range(0, length(seq) - {p} + 1)) AS s FROM sequences)),
+        found AS (SELECT * FROM ({parts[0]} UNION ALL {parts[1]}) WHERE regexp_full_match(target, '[ACGT]{{{length}}}'))"""
+
+
+SEEDED = "seeded AS (SELECT *, right(target, 10) AS seedseq, row_number() OVER (PARTITION BY right(target, 10) ORDER BY record_idx, strand DESC, start) AS seed_rank FROM found)"
+FEATURES = """features AS (SELECT seqid AS chrom, k * 60 AS fs, k * 60 + 40 AS fe, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS fstrand, md5(seqid || '|' || k) AS feature
+    FROM (SELECT seqid, unnest(range(0, length(seq) // 60 + 1)) AS k FROM sequences WHERE length(seq) > 0))"""
+NEAREST = f"""{FEATURES}, pairs AS (SELECT g.*, f.*, CASE WHEN fs >= stop THEN fs - stop + 1 WHEN fe <= start THEN -(start - fe + 1) ELSE 0 END AS distance
+        FROM seeded g JOIN features f ON g.seqid = f.chrom WHERE seed_rank = 1),
+    strict AS (SELECT *, row_number() OVER (PARTITION BY seqid, start, strand ORDER BY distance, fs, fe, feature) AS r FROM pairs WHERE distance > 0),
+    up AS (SELECT *, row_number() OVER (PARTITION BY seqid, start, strand ORDER BY -distance, fs, fe, feature) AS r FROM pairs WHERE distance <= 0),
+    near AS (SELECT 'downstream' AS direction, * FROM strict WHERE r = 1 UNION ALL SELECT 'upstream', * FROM up WHERE r = 1
+        UNION ALL SELECT 'downstream', * FROM up u WHERE r = 1 AND NOT EXISTS (FROM strict s WHERE s.seqid = u.seqid AND s.start = u.start AND s.strand = u.strand))"""
+POSITION = """((strand AND fstrand = '+' OR NOT strand AND fstrand = '-') AND (distance > 0 AND distance < 100 OR distance = 0 AND fstrand = '+' AND stop - fs < 200 OR distance = 0 AND fstrand = '-' AND fe - start < 200)
+    OR NOT strand AND fstrand = '+' AND (fs - stop > 0 AND fs - stop < 100 OR stop - fs > 0 AND stop - fs < 200)
+    OR strand AND fstrand = '-' AND (start - fe > 0 AND start - fe < 100 OR fe - start > 0 AND fe - start < 200))"""
+
+
+def knn_sql(measure: str, k: int = 5) -> str:
+    return f"""pool AS (SELECT DISTINCT target FROM found), ranked AS (SELECT a.target, b.target AS neighbor, CAST({measure}(a.target, b.target) AS BIGINT) AS dist,
+        row_number() OVER (PARTITION BY a.target ORDER BY {measure}(a.target, b.target), b.target) - 1 AS rank FROM pool a, pool b QUALIFY rank < {k})"""
+
+
+def pairs_of(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    return scan.find_targets(genome(spark, sf_dir), scan.Pam("NGG"), 20)
+
+
+@query(f"WITH {scan_sql(which='large')} SELECT * FROM found")
+def pam_scan_3p(spark, sf_dir):
+    return scan.find_targets(genome(spark, sf_dir, "large"), scan.Pam("NGG"), 20)
+
+
+@query(f"WITH {scan_sql(orientation='5prime', which='large')} SELECT * FROM found")
+def pam_scan_5p(spark, sf_dir):
+    return scan.find_targets(genome(spark, sf_dir, "large"), scan.Pam("NGG", "5prime"), 20)
+
+
+@query(f"WITH {scan_sql('NNGRRT', length=21)} SELECT * FROM found")
+def pam_scan_iupac(spark, sf_dir):
+    return scan.find_targets(genome(spark, sf_dir), scan.Pam("NNGRRT"), 21)
+
+
+@query(f"WITH {seq_sql('large')} SELECT record_idx, {RC.format('seq')} AS rc FROM sequences")
+def reverse_complement(spark, sf_dir):
+    return genome(spark, sf_dir, "large").select("record_idx", dna.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query("SELECT a || b || 'GG' AS word FROM (VALUES ('A'), ('G')) x(a), (VALUES ('G'), ('A'), ('T'), ('C')) y(b)")
+def iupac_expand(spark, sf_dir):
+    words = F.array(*[F.lit(w) for w in dna.expand_iupac("RNGG")])
+    return spark.range(1).select(F.explode(words).alias("word"))
+
+
+@query(f"WITH {scan_sql(which='large')} SELECT target, round(length(regexp_replace(target, '[^GC]', '', 'g')) / 20.0::DOUBLE, 6) AS gc FROM found")
+def gc_fraction(spark, sf_dir):
+    return pam_scan_3p(spark, sf_dir).select("target", F.round(dna.gc_fraction(F.col("target")), 6).alias("gc"))
+
+
+@query(f"WITH {seq_sql('large')} SELECT round(sum(length(regexp_replace(seq, '[^GC]', '', 'g')))::DOUBLE / sum(length(seq)), 6) AS gc, round(sum(length(seq)) / 1048576.0::DOUBLE, 6) AS mib FROM sequences")
+def genome_gc(spark, sf_dir):
+    return controls.genome_gc(genome(spark, sf_dir, "large")).select(F.round("gc", 6).alias("gc"), F.round("mib", 6).alias("mib"))
+
+
+@query(f"WITH {scan_sql()} SELECT DISTINCT target, md5(target) AS name FROM found")
+def guide_md5(spark, sf_dir):
+    return pairs_of(spark, sf_dir).select("target", F.md5("target").alias("name")).distinct()
+
+
+@query(f"WITH {scan_sql(which='large')} SELECT record_idx, start, strand, regexp_matches(target, '[ACGT]G[AG]T|A[CT]C[ACGT]') AS hasrestrictionsite FROM found")
+def restriction_flag(spark, sf_dir):
+    return targets.flag_restriction_sites(pam_scan_3p(spark, sf_dir), ["NGRT"]).select("record_idx", "start", "strand", "hasrestrictionsite")
+
+
+@query(f"WITH {scan_sql(which='large')}, {SEEDED} SELECT record_idx, start, strand, seedseq, seed_rank > 1 AS isseedduplicated FROM seeded")
+def seed_unique(spark, sf_dir):
+    return targets.flag_seeds(pam_scan_3p(spark, sf_dir), 10, "3prime").select("record_idx", "start", "strand", "seedseq", "isseedduplicated")
+
+
+@query(f"WITH {scan_sql(which='large')}, {SEEDED} SELECT record_idx, start, strand, seed_rank FROM seeded")
+def seed_rank(spark, sf_dir):
+    return targets.seed_rank(pam_scan_3p(spark, sf_dir), 10, "3prime").select("record_idx", "start", "strand", "seed_rank")
+
+
+@query(f"WITH {scan_sql(which='large')}, {SEEDED} SELECT seqid AS \"Chromosome\", start AS \"Start\", stop AS \"Stop\", target AS \"gRNA\", CASE WHEN strand THEN '+' ELSE '-' END AS \"Strand\" FROM seeded WHERE seed_rank = 1")
+def raw_guides(spark, sf_dir):
+    return targets.raw_guides(flagged_targets(genome(spark, sf_dir, "large"), options()))
+
+
+@query(f"WITH {scan_sql()}, {knn_sql('hamming')} SELECT * FROM ranked")
+def knn_hamming(spark, sf_dir):
+    x = pairs_of(spark, sf_dir)
+    return neighbors.knn(x, x, 5)
+
+
+@query(f"WITH {scan_sql()}, {knn_sql('levenshtein')} SELECT * FROM ranked")
+def knn_levenshtein(spark, sf_dir):
+    x = pairs_of(spark, sf_dir)
+    return neighbors.knn(x, x, 5, "leven")
+
+
+@query(f"WITH {scan_sql()}, pool AS (SELECT DISTINCT target FROM found) SELECT target FROM pool a WHERE NOT EXISTS (FROM pool b WHERE a.target <> b.target AND hamming(a.target, b.target) < 5)")
+def min_distance_filter(spark, sf_dir):
+    return neighbors.min_distance_filter(pairs_of(spark, sf_dir), 20, 5)
+
+
+@query(f"WITH {scan_sql()}, pool AS (SELECT DISTINCT target FROM found) SELECT a.target, b.target AS other, CAST(hamming(a.target, b.target) AS BIGINT) AS dist FROM pool a, pool b WHERE a.target <> b.target AND hamming(a.target, b.target) <= 5")
+def close_pairs(spark, sf_dir):
+    return neighbors.close_pairs(pairs_of(spark, sf_dir), 20, 5)
+
+
+@query(f"WITH {scan_sql()}, {knn_sql('hamming')} SELECT target, string_agg(neighbor, ';' ORDER BY rank) AS seqs, string_agg(dist, ';' ORDER BY rank) AS dists FROM ranked GROUP BY target HAVING coalesce(min(dist) FILTER (WHERE rank = 1), 99) >= 2")
+def neighbor_list(spark, sf_dir):
+    x = pairs_of(spark, sf_dir)
+    return flat(neighbors.keep_distant(neighbors.neighbor_lists(neighbors.knn(x, x, 5)), 2).select("target", F.col("neighbors.seq").alias("seqs"), F.col("neighbors.dist").alias("dists")))
+
+
+@query(f"WITH {scan_sql()}, {knn_sql('hamming', 2)}, {knn_sql('levenshtein', 2).replace('pool AS', 'pool2 AS').replace('ranked AS', 'ranked2 AS')} SELECT round(avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM (SELECT target, list(dist ORDER BY dist) AS a FROM ranked GROUP BY target) JOIN (SELECT target, list(dist ORDER BY dist) AS b FROM ranked2 GROUP BY target) USING (target)")
+def ann_recall_exact(spark, sf_dir):
+    x = pairs_of(spark, sf_dir)
+    return neighbors.recall(neighbors.knn(x, x, 2, "leven"), neighbors.knn(x, x, 2)).select(F.round("recall", 6).alias("recall"))
+
+
+def near(spark, sf_dir, direction: str, which: str) -> DataFrame:
+    unique = flagged_targets(genome(spark, sf_dir, which), options()).where("not isseedduplicated").select(F.col("seqid").alias("chrom"), F.col("start").alias("gs"), F.col("stop").alias("ge"), guide_key().alias("id"))
+    found = intervals.nearest(unique, features(spark, sf_dir, which).drop("fstrand"))
+    return found.where(F.col("direction") == direction).select("id.*", "feature", "fs", "fe", "distance")
+
+
+@query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, feature, fs, fe, distance FROM near WHERE direction = 'downstream'")
+def nearest_downstream(spark, sf_dir):
+    return near(spark, sf_dir, "downstream", "small")
+
+
+@query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, feature, fs, fe, distance FROM near WHERE direction = 'upstream'")
+def nearest_upstream(spark, sf_dir):
+    return near(spark, sf_dir, "upstream", "small")
+
+
+@query(f"WITH {scan_sql(which='large')}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, direction, feature, distance FROM near WHERE {POSITION}")
+def position_filter(spark, sf_dir):
+    x = attached(flagged_targets(genome(spark, sf_dir, "large"), options()), features(spark, sf_dir, "large"), options())
+    return x.select("seqid", "start", "strand", "direction", "feature", "distance")
+
+
+TABLE_SQL = f"""WITH {scan_sql()}, {SEEDED}, {NEAREST}, {knn_sql('hamming')}, lists AS (SELECT target, string_agg(neighbor, ';' ORDER BY rank) AS seqs, string_agg(dist, ';' ORDER BY rank) AS dists FROM ranked GROUP BY target
+    HAVING coalesce(min(dist) FILTER (WHERE rank = 1), 99) >= 2)
+SELECT md5(target) AS "Guide name", target AS "Guide sequence", round(length(regexp_replace(target, '[^GC]', '', 'g')) / 20.0::DOUBLE, 6) AS "GC", 'hamming' AS dtype, seqid AS "Accession", start + 1 AS "Guide start", stop AS "Guide end",
+    CASE WHEN strand THEN '+' ELSE '-' END AS "Guide strand", exact_pam AS "PAM", feature AS "Feature id", fs + 1 AS "Feature start", fe AS "Feature end", fstrand AS "Feature strand", distance AS "Feature distance",
+    seqs AS "Similar guides", dists AS "Similar guide distances", target_seq30 FROM near JOIN lists USING (target) WHERE {POSITION} AND length(target_seq30) = 30"""
+
+
+@query(TABLE_SQL)
+def guide_table_query(spark, sf_dir):
+    out = flat(guide_table(genome(spark, sf_dir), features(spark, sf_dir), None, options()))
+    return out.withColumn("GC", F.round("GC", 6))
+
+
+QUERIES["guide_table"], ORACLES["guide_table"] = QUERIES.pop("guide_table_query"), ORACLES.pop("guide_table_query")
+
+
+@query(f"SELECT t.*, 'chr' || \"Accession\" AS locus_tag FROM ({TABLE_SQL}) t WHERE \"Accession\" IN ('1', '2', '3', '5')")
+def attribute_filter(spark, sf_dir):
+    f = features(spark, sf_dir)
+    tags = f.select(F.col("feature").alias("Feature id"), F.concat(F.lit("chr"), "chrom").alias("locus_tag"))
+    o = options(attributes=("chr1", "chr2", "chr3", "chr5"))
+    return flat(guide_table(genome(spark, sf_dir), f, tags, o)).withColumn("GC", F.round("GC", 6))
+
+
+def lines(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    """Annotation lines made of orders: an attribute string with a blank and a malformed part."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    part = (lambda k, v: F.concat(F.lit(k + "="), v)) if form == "gff" else (lambda k, v: F.concat(F.lit(k + ' "'), v, F.lit('"')))
+    text = F.concat_ws(";", part("ID", F.concat(F.lit("o"), F.col("o_orderkey"))), part("status", F.col("o_orderstatus")), F.lit(" "), F.lit("broken"), part("priority", F.concat(F.col("o_orderpriority"), F.lit("=x"))))
+    return o.select(F.col("o_orderkey").cast("string").alias("feature_id"), text.alias("attributes"))
+
+
+def lines_sql(form: str) -> str:
+    tail = "|| '=x'" if form == "gtf" else ""
+    return f"SELECT CAST(o_orderkey AS VARCHAR) AS feature_id, unnest(['ID', 'status', 'priority']) AS key, unnest(['o' || o_orderkey, o_orderstatus, o_orderpriority {tail}]) AS value FROM orders"
+
+
+@query(lines_sql("gff"))
+def gff_attributes(spark, sf_dir):
+    return annotate.attributes(lines(spark, sf_dir, "gff"), "gff")
+
+
+@query(lines_sql("gtf"))
+def gtf_attributes(spark, sf_dir):
+    return annotate.attributes(lines(spark, sf_dir, "gtf"), "gtf")
+
+
+@query('SELECT CAST(p_partkey AS VARCHAR) AS "Feature id", p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS size, p_type AS type FROM part')
+def qualifier_pivot(spark, sf_dir):
+    return annotate.qualifier_table(qualifiers(spark, sf_dir))
+
+
+@query("SELECT key, count(*) AS features, round(count(*)::DOUBLE / (SELECT count(*) FROM part), 6) AS proportion FROM (SELECT unnest(['brand', 'type', 'size']) AS key, p_size FROM part) WHERE key <> 'size' OR p_size % 2 = 0 GROUP BY key")
+def qualifier_proportion(spark, sf_dir):
+    return annotate.key_proportions(qualifiers(spark, sf_dir)).withColumn("proportion", F.round("proportion", 6))
+
+
+@query("SELECT count(*) AS loci FROM part WHERE p_size % 2 = 0")
+def locus_count(spark, sf_dir):
+    return annotate.locus_count(qualifiers(spark, sf_dir), "size")
+
+
+def cfd_sql(a: str, b: str) -> str:
+    mild = f"substr({a}, i, 1) || substr({b}, i, 1) IN ('AG', 'GA', 'CT', 'TC')"
+    weight = f"CASE WHEN substr({a}, i, 1) = substr({b}, i, 1) THEN 1.0::DOUBLE ELSE round(1 - 0.045::DOUBLE * i * CASE WHEN {mild} THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END, 6) END"
+    return f"(SELECT round(product({weight}), 6) FROM range(1, 21) AS g(i))"
+
+
+@query(f"WITH {scan_sql()}, {knn_sql('hamming')} SELECT target, neighbor, {cfd_sql('target', 'neighbor')} AS cfd FROM ranked")
+def cfd_pair(spark, sf_dir):
+    return knn_hamming(spark, sf_dir).select("target", "neighbor", F.round(scores.cfd(F.col("target"), F.col("neighbor"), scores.rule_weights()), 6).alias("cfd"))
+
+
+@query(f"WITH {scan_sql()}, {knn_sql('hamming')} SELECT target, max({cfd_sql('target', 'neighbor')}) FILTER (WHERE neighbor <> target) AS max_cfd FROM ranked GROUP BY target")
+def cfd_max(spark, sf_dir):
+    lists = neighbors.neighbor_lists(knn_hamming(spark, sf_dir))
+    return scores.cfd_scores(lists, scores.rule_weights()).select("target", F.round("Max CFD", 6).alias("max_cfd"))
+
+
+THIRTY = f"WITH {scan_sql(which='large')}, t AS (SELECT DISTINCT target_seq30 AS s FROM found WHERE target_seq30 IS NOT NULL)"
+
+
+def thirty(spark, sf_dir):
+    return pam_scan_3p(spark, sf_dir).where("target_seq30 is not null").select(F.col("target_seq30").alias("s")).distinct()
+
+
+@query(f"{THIRTY} SELECT s, " + ", ".join(f"length(s) - length(replace(s, '{b}', '')) AS n_{b}" for b in "ATCG") + " FROM t")
+def nt_counts(spark, sf_dir):
+    return thirty(spark, sf_dir).select("s", *[c.alias(f"n_{b}") for b, c in zip("ATCG", scores.base_counts(F.col("s")))])
+
+
+@query(f"{THIRTY} SELECT s, " + ", ".join(f"len(list_filter(range(1, 30), lambda i: substr(s, i, 2) = '{p}')) AS n_{p}" for p in scores.PAIRS) + " FROM t")
+def dinuc_counts(spark, sf_dir):
+    return thirty(spark, sf_dir).select("s", *[c.alias(f"n_{p}") for p, c in zip(scores.PAIRS, scores.pair_counts(F.col("s")))])
+
+
+@query(f"{THIRTY} SELECT s, list_reduce(list_transform(range(1, 31), lambda i: replace(replace(replace(replace(substr(s, i, 1), 'A', '1000'), 'T', '0100'), 'C', '0010'), 'G', '0001')), lambda a, b: a || b) AS hot FROM t")
+def onehot_order1(spark, sf_dir):
+    hot = scores.one_hot(F.col("s"), list(scores.NUCLEOTIDES), 30)
+    return thirty(spark, sf_dir).select("s", F.array_join(F.transform(hot, lambda v: v.cast("int").cast("string")), "").alias("hot"))
+
+
+@query(f"{THIRTY} SELECT s, length(regexp_replace(substr(s, 5, 20), '[^GC]', '', 'g')) AS gc, length(regexp_replace(substr(s, 5, 20), '[^GC]', '', 'g')) > 10 AS above, length(regexp_replace(substr(s, 5, 20), '[^GC]', '', 'g')) < 10 AS below FROM t")
+def gc_features(spark, sf_dir):
+    gc = scores.gc_count(F.col("s"))
+    return thirty(spark, sf_dir).select("s", gc.alias("gc"), (gc > 10).alias("above"), (gc < 10).alias("below"))
+
+
+@query(f"{THIRTY} SELECT s, (instr('ACGT', substr(s, 25, 1)) - 1) * 4 + instr('ACGT', substr(s, 28, 1)) - 1 AS place FROM t")
+def nggx(spark, sf_dir):
+    return thirty(spark, sf_dir).select("s", (F.array_position(scores.nggx(F.col("s")), F.lit(1.0).cast("float")) - 1).alias("place"))
+
+
+def tm_sql() -> str:
+    stacks = " ".join(f"WHEN '{k}' THEN {{}}" for k in scores.STACKS)
+    h, s = (f"(SELECT sum(CASE substr(s, i, 2) {stacks.format(*[f'{v[k]}::DOUBLE' for v in scores.STACKS.values()])} END) FROM range(1, 30) AS g(i))" for k in (0, 1))
+    ends = "(CAST(substr(s, 1, 1) IN ('A', 'T') AS INT) + CAST(substr(s, 30, 1) IN ('A', 'T') AS INT))"
+    return f"round(1000 * (3.61::DOUBLE + {ends} * 3.72::DOUBLE + {h}) / (-1.5::DOUBLE + {ends} * 10.5::DOUBLE + {s} + 0.368::DOUBLE * 29 * ln(0.05::DOUBLE) + 1.987::DOUBLE * ln(12.5e-9::DOUBLE)) - 273.15::DOUBLE, 5)"
+
+
+@query(f"{THIRTY} SELECT s, {tm_sql()} AS tm FROM t")
+def tm_features(spark, sf_dir):
+    return thirty(spark, sf_dir).select("s", F.round(scores.melting(F.col("s")), 5).alias("tm"))
+
+
+@query()
+def on_target_features(spark, sf_dir):
+    return thirty(spark, sf_dir).select("s", scores.on_target_features(F.col("s")).alias("features"))
+
+
+@query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid AS locus_tag, exact_pam AS \"PAM\", count(*) AS guides FROM near WHERE {POSITION} GROUP BY ALL")
+def locus_pam_counts(spark, sf_dir):
+    x = attached(flagged_targets(genome(spark, sf_dir), options()), features(spark, sf_dir), options())
+    return report.locus_pam_counts(x.select(F.col("seqid").alias("locus_tag"), F.col("exact_pam").alias("PAM")))
+
+
+DENSITY_SQL = f"""WITH {scan_sql()}, p AS (SELECT seqid AS chrom, start AS pos, length(seq) AS extent FROM found JOIN sequences USING (seqid)),
+g AS (SELECT chrom, max(extent) AS extent, count(*) AS n, greatest(1.0::DOUBLE, round(max(extent) / 200.0::DOUBLE)) AS h, greatest((max(extent) - 1)::DOUBLE / 19, 1e-9::DOUBLE) AS step FROM p GROUP BY chrom),
+k AS (SELECT g.*, 1 + i * step AS x FROM g, range(20) AS r(i))
+SELECT p.chrom, round(x, 6) AS x, round(sum(exp(-((x - pos) / h * ((x - pos) / h)) / 2) / (h * sqrt(2 * pi()))) / any_value(n), 6) AS density FROM k JOIN p ON p.chrom = k.chrom AND abs(x - pos) <= 5 * h GROUP BY p.chrom, x"""
+
+
+@query(DENSITY_SQL)
+def position_density(spark, sf_dir):
+    seqs = genome(spark, sf_dir)
+    places = scan.find_targets(seqs, scan.Pam("NGG"), 20).join(seqs.select("record_idx", F.length("seq").alias("extent")), "record_idx")
+    out = report.density(places.select(F.col("seqid").alias("chrom"), F.col("start").alias("pos"), "extent"), 20)
+    return out.select("chrom", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
+def drawn(spark, sf_dir, n: int = 200) -> DataFrame:
+    return controls.candidates(spark, n, 20, controls.genome_gc(genome(spark, sf_dir)).first()["gc"] or 0.5)
+
+
+DRAWN = f"""{scan_sql()}, rate AS (SELECT sum(length(regexp_replace(seq, '[^GC]', '', 'g')))::DOUBLE / sum(length(seq)) AS gc FROM sequences),
+u AS (SELECT id, i, ('0x' || substr(md5('1|' || id || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range(200) AS a(id), range(1, 21) AS b(i)),
+drawn AS (SELECT id AS gen_idx, string_agg(CASE WHEN u < gc / 2 THEN 'G' WHEN u < gc THEN 'C' WHEN u < gc + (1 - gc) / 2 THEN 'A' ELSE 'T' END, '' ORDER BY i) AS target FROM u, rate GROUP BY id),
+top AS (SELECT d.gen_idx, d.target, CAST(min(hamming(d.target, f.target)) AS BIGINT) AS dist FROM drawn d, (SELECT DISTINCT target FROM found) f GROUP BY ALL ORDER BY dist DESC, gen_idx LIMIT 20)"""
+
+
+@query(f"WITH {DRAWN} SELECT * FROM drawn")
+def control_candidates(spark, sf_dir):
+    return drawn(spark, sf_dir)
+
+
+@query(f"WITH {DRAWN} SELECT * FROM top")
+def control_topn(spark, sf_dir):
+    return controls.top_controls(drawn(spark, sf_dir), pairs_of(spark, sf_dir), 20)
+
+
+@query(f"WITH {DRAWN} SELECT min(dist) AS min_dist, median(dist)::DOUBLE AS median_dist FROM top")
+def control_stats(spark, sf_dir):
+    return control_topn(spark, sf_dir).agg(F.min("dist").alias("min_dist"), F.median("dist").cast("double").alias("median_dist"))
+
+
+@query(f"WITH {scan_sql(which='large')}, {SEEDED} SELECT count(*) AS targets, count(DISTINCT target) AS distinct_guides, count(*) FILTER (WHERE seed_rank > 1) AS seed_duplicates, count(*) FILTER (WHERE regexp_matches(target, '[ACGT]G[AG]T|A[CT]C[ACGT]')) AS with_site FROM seeded")
+def run_stats(spark, sf_dir):
+    return report.run_stats(flagged_targets(genome(spark, sf_dir, "large"), options(enzymes=("NGRT",))))
