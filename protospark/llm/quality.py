@@ -117,7 +117,7 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + self.value[t, at - self.feature.shape[1]].sum(axis=1))))
 
 
-def boost(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, least: float = 5.0, ridge: float = 1.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, least: float = 1.0, ridge: float = 1.0) -> Trees:
     """Gradient boosting of the logistic loss over histograms of quantile bins.
 
     A split on a feature with a monotonic constraint must order its children's values that way, and its subtrees
