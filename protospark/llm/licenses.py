@@ -82,7 +82,8 @@ def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = B
 
     A longest common subsequence over cells at most `band` off the diagonal (text place - template place); gaps are free,
     so coverage is matched words by the template's words. Each cell keeps its score and the text words it began and
-    last matched at.
+    last matched at; of equal scores it keeps the one that began last, and of the last row's cells the shortest span wins,
+    then the one nearest the diagonal, so that a repeated notice close by is not taken for this one.
     """
     width = 2 * band + 1
     row = [(0, 0, 0)] * width
@@ -90,14 +91,12 @@ def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = B
         new = []
         for k in range(width):
             j = i + diagonal + k - band
-            best = row[k + 1] if k + 1 < width else (0, 0, 0)
-            if new and new[-1][0] > best[0]:
-                best = new[-1]
-            if 0 <= j < len(text) and text[j] == word and row[k][0] + 1 > best[0]:
-                best = (row[k][0] + 1, row[k][1] if row[k][0] else j, j + 1)
+            best = max(row[k + 1], new[-1]) if new and k + 1 < width else new[-1] if new else row[k + 1]
+            if 0 <= j < len(text) and text[j] == word:
+                best = max(best, (row[k][0] + 1, row[k][1] if row[k][0] else j, j + 1))
             new.append(best)
         row = new
-    return max(row, key=lambda c: (c[0], -(c[2] - c[1])))
+    return max(row, key=lambda c: (c[0], c[1] - c[2], -abs(c[1] - diagonal)))
 
 
 def scan(index: Index, text: bytes | None, least: float = LEAST, band: int = BAND) -> list[tuple[str, float, int, int]]:
