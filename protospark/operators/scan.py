@@ -39,7 +39,16 @@ def chunks(sequences: DataFrame, margin: int, width: int = WIDTH, carry: tuple[s
     x = x.where("n > 0").withColumn("core", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(width))))
     x = x.withColumn("first", F.greatest(F.lit(0), F.col("core") - margin))
     piece = F.decode(F.substring("raw", F.col("first") + 1, F.col("core") - F.col("first") + width + margin), "UTF-8")
-    return x.select("record_idx", "seqid", "n", "core", "first", piece.alias("piece"), *carry)
+    out = x.select("record_idx", "seqid", "n", "core", "first", piece.alias("piece"), *carry)
+    return spread(out)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out if they come in fewer partitions than the cluster has cores: a genome's file is one, and the scan costs far more than moving its bases."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "record_idx", "core")
 
 
 def places(body: Column, motif: str) -> Column:

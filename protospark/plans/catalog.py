@@ -351,7 +351,8 @@ def tm_features(spark, sf_dir):
 
 @query()
 def on_target_features(spark, sf_dir):
-    return thirty(spark, sf_dir).select("s", scores.on_target_features(F.col("s")).alias("features"))
+    few = thirty(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # small rows, costly features
+    return few.select("s", scores.on_target_features(F.col("s")).alias("features"))
 
 
 @query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid AS locus_tag, exact_pam AS \"PAM\", count(*) AS guides FROM near WHERE {POSITION} GROUP BY ALL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +49,14 @@ class Options:
             raise ValueError("; ".join(broken))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep what several branches of a plan read, in memory or else on disk; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def flagged_targets(sequences: DataFrame, o: Options) -> DataFrame:
-    """Scanned guides with restriction and seed flags."""
-    found = scan.find_targets(sequences, scan.Pam(o.pam, o.orientation, o.dtype), o.length)
+    """Scanned guides with restriction and seed flags. The scan is kept: flags, neighbors and features all read it."""
+    found = held(scan.find_targets(sequences, scan.Pam(o.pam, o.orientation, o.dtype), o.length))
     found = targets.flag_restriction_sites(found, list(o.enzymes))
     if o.drop_sites:
         found = targets.drop_restriction_sites(found)
@@ -64,7 +70,7 @@ def guide_key() -> Column:
 
 def attached(found: DataFrame, features: DataFrame, o: Options) -> DataFrame:
     """Seed-unique guides with the features near whose start they lie: at most one row for each direction."""
-    unique = found.where("not isseedduplicated").withColumn("id", guide_key())
+    unique = held(found.where("not isseedduplicated").withColumn("id", guide_key()))
     places = unique.select(F.col("seqid").alias("chrom"), F.col("start").alias("gs"), F.col("stop").alias("ge"), "id")
     f = features.select("chrom", "fs", "fe", F.struct("feature", "fstrand").alias("feature"))
     near = intervals.nearest(places, f).select("id", "direction", F.col("feature.feature").alias("feature"), F.col("feature.fstrand").alias("fstrand"), "fs", "fe", "distance")
@@ -86,7 +92,7 @@ def guide_table(sequences: DataFrame, features: DataFrame, qualifiers: DataFrame
     near a feature's start are asked for, which is the smaller side of the search.
     """
     found = flagged_targets(sequences, o)
-    rows = attached(found, features, o)
+    rows = held(attached(found, features, o))
     lists = neighbors.keep_distant(neighbors.neighbor_lists(neighbors.knn(rows.where("length(target_seq30) = 30"), found, o.knum, o.dtype)), o.dist)
     if weights is not None:
         lists = scores.cfd_scores(lists, weights)
