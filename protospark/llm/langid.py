@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Hashed n-gram dimensions (2**BITS), documents vectorised at a time, bytes of a text read at a time.
 BITS, BLOCK, CHUNK = 12, 256, 1 << 20
 #: Anything ASCII but a lower-case letter counts as a space.
@@ -142,5 +144,5 @@ def identify(model: Model, text: Column) -> Column:
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text is not rejected."""
-    judged = docs.select(F.struct("*").alias("row"), identify(model, F.col(text)).alias("found"))
+    judged = spread(docs).select(F.struct("*").alias("row"), identify(model, F.col(text)).alias("found"))
     return judged.where("not found.rejected").select("row.*")

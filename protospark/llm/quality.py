@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 WINDOW = 8
@@ -216,5 +218,5 @@ def judge(model: Trees, text: Column, least: float = 0.3) -> Column:
 
 def keep_good(docs: DataFrame, model: Trees, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, that are kept."""
-    judged = docs.select(F.struct("*").alias("row"), judge(model, F.col(text), least).alias("found"))
+    judged = spread(docs).select(F.struct("*").alias("row"), judge(model, F.col(text), least).alias("found"))
     return judged.where("found.kept").select("row.*")

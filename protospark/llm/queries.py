@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embeddings, langid, licenses, mixing, packing, quality, sharding, simhash, tokenbin
-from .common import cut, shared_dir, word_count
+from .common import cut, shared_dir, spread, word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    found = docs.select("doc_id", quality.judge(model, F.col("text")).alias("q"))
+    found = spread(docs.select("doc_id", "text")).select("doc_id", quality.judge(model, F.col("text")).alias("q"))
     return found.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")])
 
 
@@ -74,7 +74,7 @@ def held_out(key: str = "doc_id"):
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out()))
-    found = docs.select("doc_id", held_out().alias("held_out"), langid.identify(model, F.col("text")).alias("l"))
+    found = spread(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), langid.identify(model, F.col("text")).alias("l"))
     return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.cosine", "l.rejected")
 
 
@@ -130,7 +130,7 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(said) AS turns_sha256
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", licenses.licenses(F.col("text")).alias("spans"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", licenses.licenses(F.col("text")).alias("spans"))
     return found.select("doc_id", F.size("spans").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("spans.license")), ";").alias("licenses"), "spans")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions
+from .common import components, cut, partitions, spread
 
 #: Shingles hashed at a time, so that memory doesn't follow the length of a text.
 CHUNK = 1 << 15
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             fp = np.fromiter((fingerprint(t, shingle, seed) for t in (x.as_py() for x in b.column(1))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
-    x = docs.select(F.col(key).alias("key"), F.encode(F.col(text), "UTF-8").alias("text"))
+    x = spread(docs.select(F.col(key).alias("key"), F.encode(F.col(text), "UTF-8").alias("text")))
     return x.mapInArrow(run, f"key {x.schema['key'].dataType.simpleString()}, fp long")
 
 
