@@ -11,6 +11,8 @@ from ..functions.dna import check_motif, is_acgt, iupac_regex, reverse_complemen
 
 #: Bases of a chunk, besides its margins. Chunks are short since a string's characters are counted from its start.
 WIDTH = 256
+#: Bases of a block, the unit that is dealt out.
+BLOCK = 1 << 16
 #: The long context that on-target scores read: three bases outside the motif, 27 with it.
 CONTEXT, OUTSIDE = 30, 3
 
@@ -32,23 +34,28 @@ class Pam:
 def chunks(sequences: DataFrame, margin: int, width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
     """Cut sequences into rows (record_idx, seqid, n, core, first, piece): bases [first, ...) around the core's `width` bases.
 
-    Pieces are cut from bytes, which costs their own length only; so one long chromosome spreads over its row's
-    generated chunks, and a source that yields records in blocks spreads it over tasks.
+    First blocks of BLOCK bases are cut, which are dealt out over the cluster, then pieces of blocks; both from bytes, so
+    a cut costs its own length only. Each cut is made inside the generator: what a projection before a generator
+    computes may be computed again for every row that the generator makes.
     """
     x = sequences.select("record_idx", "seqid", F.length("seq").alias("n"), F.encode(F.upper("seq"), "UTF-8").alias("raw"), *carry)
-    x = x.where("n > 0").withColumn("core", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(width))))
-    x = x.withColumn("first", F.greatest(F.lit(0), F.col("core") - margin))
-    piece = F.decode(F.substring("raw", F.col("first") + 1, F.col("core") - F.col("first") + width + margin), "UTF-8")
-    out = x.select("record_idx", "seqid", "n", "core", "first", piece.alias("piece"), *carry)
-    return spread(out)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out if they come in fewer partitions than the cluster has cores: a genome's file is one, and the scan costs far more than moving its bases."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "record_idx", "core")
+    x = x.select("record_idx", "seqid", "n", F.explode(cuts("raw", F.lit(0), F.lit(0), F.col("n"), BLOCK, margin, "block")).alias("b"), *carry)
+    x = x.select("record_idx", "seqid", "n", "b.*", *carry).withColumnsRenamed({"core": "begin", "first": "offset"})
+    if not x.isStreaming:  # a genome's file is one partition, and the scan costs far more than moving its bases
+        x = x.repartition("record_idx", "begin")
+    end = F.least(F.col("begin") + BLOCK, F.col("n"))
+    x = x.select("record_idx", "seqid", "n", F.explode(cuts("block", F.col("begin"), F.col("offset"), end, width, margin, "bytes")).alias("c"), *carry)
+    return x.select("record_idx", "seqid", "n", "c.core", "c.first", F.decode("c.bytes", "UTF-8").alias("piece"), *carry)
+
+
+def cuts(raw: str, begin: Column, offset: Column, end: Column, width: int, margin: int, name: str) -> Column:
+    """Array of (core, first, bytes): a cut for each `width` bases of [begin, end), with margins; raw begins at base `offset`."""
+
+    def cut(core: Column) -> Column:
+        first = F.greatest(F.lit(0), core - margin)
+        return F.struct(core.alias("core"), first.alias("first"), F.substring(raw, first - offset + 1, core - first + width + margin).alias(name))
+
+    return F.transform(F.when(end > begin, F.sequence(begin, end - 1, F.lit(width))), cut)
 
 
 def places(body: Column, motif: str) -> Column:

@@ -42,7 +42,8 @@ def query(sql: str | None = None):
 def genome(spark: SparkSession, sf_dir: str, which: str = "small") -> DataFrame:
     name, key = GENOMES[which]
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).alias("record_idx"), F.col(key).cast("string").alias("seqid"), F.translate(letters, LETTERS, BASES).alias("seq"))
+    texts = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, "text").repartition(key)
+    return texts.select(F.col(key).alias("record_idx"), F.col(key).cast("string").alias("seqid"), F.translate(letters, LETTERS, BASES).alias("seq"))
 
 
 def features(spark: SparkSession, sf_dir: str, which: str = "small") -> DataFrame:
