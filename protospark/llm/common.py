@@ -33,9 +33,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly if they come in fewer partitions than there are cores (a small table, or one file of one row group)."""
+    """Deal rows out evenly if they come in fewer partitions than there are cores (a small table, or one file of one row group).
+
+    A plan with an exchange has dealt its rows already; asking for its partitions would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def word_count(text: Column) -> Column:
