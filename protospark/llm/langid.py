@@ -16,6 +16,8 @@ BITS, BLOCK, CHUNK = 12, 256, 1 << 20
 #: Anything ASCII but a lower-case letter counts as a space.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 UNKNOWN = "und"
+#: n-grams that a text must have for its distance to count against it.
+ENOUGH = 30
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -57,19 +59,20 @@ class Model:
             rows = [i for i in range(at, min(n, at + BLOCK)) if has_letter(texts[i])]
             if not rows or not self.langs:
                 continue
-            near = self.vectors(np.stack([grams(texts[i]) for i in rows])) @ self.centroids.T
+            counts = np.stack([grams(texts[i]) for i in rows])
+            near = self.vectors(counts) @ self.centroids.T
             best = np.stack([near[:, self.owner == k].max(axis=1) for k in range(len(self.langs))], axis=1).astype(np.float64)
             top = best.argmax(axis=1)
             odds = np.exp(25 * (best - best.max(axis=1, keepdims=True)))
             score[rows] = 1 / odds.sum(axis=1)
             cosine[rows] = best[np.arange(len(rows)), top]
-            rejected[rows] = best[np.arange(len(rows)), top] < self.radius[top]
+            rejected[rows] = (cosine[rows] < self.radius[top]) & (counts.sum(axis=1) >= ENOUGH)
             for i, k in zip(rows, top):
                 langs[i] = self.langs[k]
         return langs, np.clip(score, 0, 1), cosine, rejected
 
 
-def fit(sample: list[tuple[str, np.ndarray]], clusters: int = 4, slack: float = 0.5, rounds: int = 12) -> Model:
+def fit(sample: list[tuple[str, np.ndarray]], clusters: int = 4, slack: float = 0.25, rounds: int = 12) -> Model:
     """Spherical k-means within each language; a language's radius is `slack` times the least cosine seen in training."""
     langs = sorted({lang for lang, _ in sample})
     if not langs:
@@ -130,7 +133,8 @@ def identify(model: Model, text: Column) -> Column:
     """Struct (lang, score, cosine, rejected) of a whole text.
 
     A text that is null or has no letter is `und` with score 0 and rejected; any other gets the language of the nearest
-    centroid by cosine, and is rejected if that cosine is under the language's radius. Score is the nearest language's
+    centroid by cosine, and is rejected if that cosine is under the language's radius and the text has ENOUGH n-grams to
+    tell. Score is the nearest language's
     share of exp(25 * cosine). A model without languages (an empty table) calls every text `und`.
     """
 
