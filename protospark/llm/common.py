@@ -25,7 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that later work neither repeats it nor depends on executors that may be lost."""
     path = f"{shared_dir(df.sparkSession)}/protospark/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by cut that nothing reads any more."""
+    jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -85,7 +94,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.*").where("u > v").distinct())
+        last, now = now, cut(small.select("e.*").where("u > v").distinct())
+        discard(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 31) - 1)), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
