@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="protospark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
