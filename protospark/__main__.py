@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cfd_score", action="store_true")
     p.add_argument("--cfd_weights", help="JSON of mismatch weights; without it, weights by rule")
     p.add_argument("--plot_data", action="store_true", help="also write what plots are drawn from")
+    p.add_argument("--config", help="YAML: CONTROL (MINIMUM_HMDIST, CONTROL_SEARCH_MULTIPLE), MINIMUM_PROPORTION")
     p.add_argument("--seed", type=int, default=1)
     return p
 
@@ -54,14 +55,26 @@ def validated(argv: list[str] | None = None) -> tuple[argparse.Namespace, Option
     return a, o
 
 
-def annotation(spark: SparkSession, a: argparse.Namespace):
+def settings(path: str | None) -> dict:
+    """Search of controls and least proportion of a qualifier, from a YAML file; its other sections tune an index that exact search has no use for."""
+    found = {}
+    if path:
+        import yaml
+
+        with open(path) as f:
+            found = yaml.safe_load(f) or {}
+    control = found.get("CONTROL") or {}
+    return {"ladder": tuple(control.get("CONTROL_SEARCH_MULTIPLE", controls.LADDER)), "enough": control.get("MINIMUM_HMDIST", controls.ENOUGH), "minimum": found.get("MINIMUM_PROPORTION", 0.0)}
+
+
+def annotation(spark: SparkSession, a: argparse.Namespace, minimum: float = 0.0):
     """Features of the wanted types, and the table of their qualifiers."""
     if a.genbank:
         f = genomes.read_genbank_features(spark, a.genbank, tuple(a.feature_types))
         q = f.select(F.col("feature").alias("feature_id"), F.explode("qualifiers").alias("key", "values")).select("feature_id", "key", F.explode("values").alias("value"))
-        return f.select("chrom", "fs", "fe", "fstrand", "feature"), annotate.qualifier_table(q)
+        return f.select("chrom", "fs", "fe", "fstrand", "feature"), annotate.qualifier_table(q, minimum=minimum)
     lines = genomes.read_lines(spark, a.gff).where(F.col("type").isin(*a.feature_types))
-    return annotate.gff_features(lines, tuple(a.feature_types)), annotate.qualifier_table(annotate.attributes(lines, genomes.sniff_annotation(a.gff[0])))
+    return annotate.gff_features(lines, tuple(a.feature_types)), annotate.qualifier_table(annotate.attributes(lines, genomes.sniff_annotation(a.gff[0])), minimum=minimum)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -73,12 +86,13 @@ def main(argv: list[str] | None = None) -> None:
     if a.raw_output_only:
         sinks.write_csv(targets.raw_guides(found), at("rawguides.csv.gz"))
         return
-    features, qualifiers = annotation(spark, a)
+    more = settings(a.config)
+    features, qualifiers = annotation(spark, a, more.pop("minimum"))
     weights = (scores.load_weights(a.cfd_weights) if a.cfd_weights else scores.rule_weights()) if a.cfd_score else None
     table = guide_table(sequences, features, qualifiers, o, weights, a.efficiency_model, a.doench_efficiency_score)
     sinks.write_csv(table.orderBy("Accession", "Feature start", "Guide start", "Guide strand"), at("targets.csv.gz"))
     if o.controls:
-        best, stats = controls.controls(sequences, found, o.controls, o.length, o.dtype, a.seed)
+        best, stats = controls.controls(sequences, found, o.controls, o.length, o.dtype, a.seed, **more)
         sinks.write_controls(best, at("controls.csv.gz"))
         print(f"controls: least distance {stats['min']}, median {stats['median']}")
     if a.plot_data:

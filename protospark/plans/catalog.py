@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..operators import annotate, controls, intervals, neighbors, report, scan, scores, targets
 from ..sources.sinks import flat
-from .design import Options, attached, flagged_targets, guide_key, guide_table
+from .design import Options, attached, flagged_targets, guide_key, guide_table, nearby, strand_label
 
 LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
 GENOMES = {"small": ("benchmark", "item_id"), "large": ("documents", "doc_id")}
@@ -219,6 +219,11 @@ def nearest_upstream(spark, sf_dir):
     return near(spark, sf_dir, "upstream", "small")
 
 
+@query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, target, direction, feature, fs, fe, distance FROM near")
+def nearby_features(spark, sf_dir):
+    return nearby(flagged_targets(genome(spark, sf_dir), options()), features(spark, sf_dir).drop("fstrand")).select("id.*", "target", "direction", "feature", "fs", "fe", "distance")
+
+
 @query(f"WITH {scan_sql(which='large')}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, direction, feature, distance FROM near WHERE {POSITION}")
 def position_filter(spark, sf_dir):
     x = attached(flagged_targets(genome(spark, sf_dir, "large"), options()), features(spark, sf_dir, "large"), options())
@@ -241,6 +246,11 @@ def guide_table_query(spark, sf_dir):
 QUERIES["guide_table"], ORACLES["guide_table"] = QUERIES.pop("guide_table_query"), ORACLES.pop("guide_table_query")
 
 
+@query(f"SELECT \"Guide name\", \"Feature id\", CASE WHEN \"Guide strand\" = \"Feature strand\" THEN 'coding' ELSE 'non-coding' END AS strand_label FROM ({TABLE_SQL})")
+def target_strand(spark, sf_dir):
+    return guide_table(genome(spark, sf_dir), features(spark, sf_dir), None, options()).select("Guide name", "Feature id", strand_label().alias("strand_label"))
+
+
 @query(f"SELECT t.*, 'chr' || \"Accession\" AS locus_tag FROM ({TABLE_SQL}) t WHERE \"Accession\" IN ('1', '2', '3', '5')")
 def attribute_filter(spark, sf_dir):
     f = features(spark, sf_dir)

@@ -18,8 +18,9 @@ def test_run_writes_tables(spark, tmp_path):
     (tmp_path / "g.fasta").write_text(f">c1\n{seq[:2000]}\n>c2\n{seq[2000:].lower()}\n")
     rows = "".join(f"c{1 + i % 2}\tx\tCDS\t{100 + 90 * i}\t{160 + 90 * i}\t.\t{'+-'[i % 2]}\t0\tID=f{i};locus_tag=t{i}\n" for i in range(9))
     (tmp_path / "g.gff").write_text("##gff-version 3\n" + rows)
+    (tmp_path / "c.yaml").write_text("CONTROL:\n  MINIMUM_HMDIST: 5\n  CONTROL_SEARCH_MULTIPLE: [2, 4]\nMINIMUM_PROPORTION: 0.2\n")
     out = str(tmp_path / "out")
-    main(["-f", str(tmp_path / "g.fasta"), "-g", str(tmp_path / "g.gff"), "-p", "NGG", "-o", out, "--controls", "5", "--cfd_score", "--doench_efficiency_score", "--plot_data"])
+    main(["-f", str(tmp_path / "g.fasta"), "-g", str(tmp_path / "g.gff"), "-p", "NGG", "-o", out, "--controls", "5", "--cfd_score", "--doench_efficiency_score", "--plot_data", "--config", str(tmp_path / "c.yaml")])
     table = spark.read.csv(f"{out}/targets.csv.gz", header=True)
     assert table.count() > 0 and {"ID", "locus_tag", "Max CFD", "Efficiency", "Similar guides"} <= set(table.columns)
     assert spark.read.csv(f"{out}/controls.csv.gz", header=True).columns == ["index", "name", "Sequences", "Hamming distance"]
