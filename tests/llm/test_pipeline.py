@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from protospark.llm import packing, queries
+from protospark.llm import jaccard, packing, queries
 from test_operators import DOCS, packing_holds, prose, slow_print, slow_stats, union
 
 DATA = "/root/testdata/sf0.001"
@@ -74,6 +74,42 @@ def test_stages_take_odd_rows_and_empty_tables(spark, corpus, tmp_path):
             stage(spark, frame, corpus).count()
 
 
+def five(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("tile", [20, 512])
+def test_near_copies_are_all_those_of_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = random.Random(8)
+    line = prose(12, rng)
+    texts = []
+    for n in [3, 5, 6, 9, 14, 30, 60, 120, 400]:
+        for _ in range(3):
+            base = prose(n, rng).split()
+            texts.append(" ".join(base))
+            for _ in range(9):
+                w = list(base)
+                for _ in range(rng.randint(1, 1 + n // 35)):
+                    w[rng.choice([0, len(w) - 1, rng.randrange(len(w))])] = prose(1, rng) + "x"
+                texts.append(" ".join(w + ([prose(1, rng)] if rng.random() < 0.3 else [])))
+    base = prose(60, rng).split()  # a large group of near copies
+    for i in range(90):
+        w = list(base)
+        w[rng.randrange(60)] = f"edit{i}"
+        texts.append(" ".join(w))
+    texts += [prose(rng.randint(5, 80), rng) + " " + line for _ in range(90)]  # one common line
+    texts += [t.upper() for t in texts[:20]] + texts[:20]
+    rng.shuffle(texts)
+    sets = [five(t) for t in texts]
+    group = union([(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], range(len(texts)))
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], ", ".join(DOCS.split(", ")[:5])).repartition(5)
+    got = corpus_pipeline.distinct(spark, d, "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(group.values()))
+    assert all(r["text"] == texts[r["doc_id"]] for r in got) and got[0].__fields__ == d.columns
+
+
 def test_run(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 100
 
