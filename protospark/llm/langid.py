@@ -72,8 +72,14 @@ class Model:
         return langs, np.clip(score, 0, 1), cosine, rejected
 
 
-def fit(sample: list[tuple[str, np.ndarray]], clusters: int = 4, slack: float = 0.25, rounds: int = 12) -> Model:
-    """Spherical k-means within each language; a language's radius is `slack` times the least cosine seen in training."""
+def fit(sample: list[tuple[str, np.ndarray]], clusters: int = 4, slack: float = 0.75, rounds: int = 12, low: float = 1) -> Model:
+    """Spherical k-means within each language; a language's radius is `slack` times a low percentile of its training cosines.
+
+    Only rows with ENOUGH n-grams count for the radius, as only those can be rejected, or all rows if none has. Rows
+    without any n-gram teach nothing. A centroid that less than `low` percent of a language's rows are nearest to goes:
+    a few rows of another language under this label would make that language known.
+    """
+    sample = [(lang, c) for lang, c in sample if c.any()]
     langs = sorted({lang for lang, _ in sample})
     if not langs:
         return Model([], np.zeros(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros(0))
@@ -91,9 +97,11 @@ def fit(sample: list[tuple[str, np.ndarray]], clusters: int = 4, slack: float =
             at = (own @ c.T).argmax(axis=1)
             c = np.stack([own[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(len(c))])
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        c = c[np.bincount((own @ c.T).argmax(axis=1), minlength=len(c)) >= low / 100 * len(own)]
         centroids.append(c)
         owner += [k] * len(c)
-        model.radius[k] = slack * (own @ c.T).max(axis=1).min()
+        enough = counts[lang == k].sum(axis=1) >= ENOUGH
+        model.radius[k] = slack * np.percentile(((own[enough] if enough.any() else own) @ c.T).max(axis=1), low)
     model.centroids, model.owner = np.vstack(centroids).astype(np.float32), np.array(owner)
     return model
 
@@ -102,7 +110,7 @@ def train(docs: DataFrame, per_lang: int = 600, total: int = 6000, key: str = "d
     """Fit on a sample of labelled rows of about `per_lang` a language, or `total` over all if there are many languages.
 
     Rows are drawn by a hash of their key, so reruns agree. Executors turn each sampled text, read whole, into sparse
-    counts of 2**BITS dimensions at most; only those go to the driver. Rows with null text or language teach nothing.
+    counts of 2**BITS dimensions at most; only those go to the driver. Rows with null text or language, or a text without an n-gram, teach nothing.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(total // 2).collect()}

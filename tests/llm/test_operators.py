@@ -470,6 +470,21 @@ def test_language(spark, odd):
     assert langid.keep_identified(odd.limit(0), model).isEmpty()
 
 
+def test_a_language_left_out_is_rejected_and_clean_documents_stay(spark):
+    rng = random.Random(4)
+    # languages with letters in common but words of their own
+    lexicon = {k: ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(150)] for k in ("xx", "yy", "zz")}
+    rows = [(i, " ".join(rng.choices(lexicon[k], k=rng.randint(20, 80))), k) for i, k in enumerate(rng.choices(list(lexicon), k=900))]
+    odd = [(2000 + i, t, k) for k in lexicon for i, t in enumerate(["12 !", "qq", "This.", "ww " * 40])]
+    odd += [(3000 + i, " ".join(rng.choices(lexicon[a], k=50)), b) for i, (a, b) in enumerate([("xx", "yy"), ("yy", "zz"), ("zz", "xx")])]  # mislabelled
+    d = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    for out in lexicon:
+        model = langid.train(d.where((F.col("lang") != out) & ((F.col("doc_id") % 4 != 2) | (F.col("doc_id") >= 2000))))
+        rejected = {k: [r for (i, t, x), r in zip(rows, model.predict([t for _, t, _ in rows])[3]) if x == k and i % 4 == 2] for k in lexicon}
+        assert model.radius.min() > 0 and np.mean(rejected[out]) > 0.95
+        assert not any(any(rejected[k]) for k in lexicon if k != out)
+
+
 def test_chunked_grams(monkeypatch):
     text = prose(300)
     whole = langid.grams(text)
