@@ -1,18 +1,19 @@
-"""License scans: winnowed fingerprints of templates pick candidates, banded alignment reports spans and coverage."""
+"""License scans: seed words of templates pick candidates, banded alignment reports spans and coverage."""
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of a fingerprint, fingerprints of a winnowing window, half width of the alignment band.
-GRAM, WINNOW, BAND = 3, 3, 8
+#: Half width of the alignment band.
+BAND = 8
 #: Part of a template's words that an alignment must match to be reported.
 LEAST = 0.8
 WORDS = re.compile(rb"[A-Za-z0-9\x80-\xff]+(?:[.\-][A-Za-z0-9\x80-\xff]+)*")
@@ -37,44 +38,53 @@ def words(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
     return [w for w, _ in found], [s for _, s in found]
 
 
-def winnow(hashes: list[int], window: int = WINNOW) -> dict[int, int]:
-    """Place of the least hash (the last of equals) of every window: place -> hash."""
-    picked = {}
-    for i in range(max(1, len(hashes) - window + 1)) if hashes else ():
-        at = min(range(i, min(len(hashes), i + window)), key=lambda k: (hashes[k], -k))
-        picked[at] = hashes[at]
-    return picked
-
-
-def gram_hashes(tokens: list[bytes], gram: int = GRAM) -> list[int]:
-    return [xxhash.xxh64_intdigest(b" ".join(tokens[i : i + gram])) for i in range(max(1, len(tokens) - gram + 1))] if tokens else []
+def seeds(tokens: list[bytes], least: float = LEAST) -> list[int]:
+    """Places of a template's longest words, one more than an alignment may miss: every alignment matches one of them."""
+    spare = len(tokens) - math.ceil(least * len(tokens) - 1e-9)
+    places: list[int] = []
+    for word in sorted(set(tokens), key=lambda w: (-len(w), w)):
+        if len(places) > spare:
+            break
+        places += [i for i, w in enumerate(tokens) if w == word]
+    return places
 
 
 @dataclass
 class Index:
-    """Inverted index from winnowed fingerprints to (template, place)."""
+    """Inverted index from seed words to (template, place)."""
 
     templates: dict[str, str] = field(default_factory=lambda: TEMPLATES)
+    least: float = LEAST
 
     def __post_init__(self) -> None:
         self.names = sorted(self.templates)
         self.tokens = [words(self.templates[n].encode())[0] for n in self.names]
-        self.posts: dict[int, list[tuple[int, int]]] = {}
+        self.posts: dict[bytes, list[tuple[int, int]]] = {}
         for t, tokens in enumerate(self.tokens):
-            for at, h in winnow(gram_hashes(tokens)).items():
-                self.posts.setdefault(h, []).append((t, at))
-        # the longest word of each fingerprint: a text with none of them has no candidate
-        grams = (tokens[at : at + GRAM] for tokens in self.tokens for at in winnow(gram_hashes(tokens)))
-        anchors = sorted({max(g, key=lambda w: (len(w), w)) for g in grams})
-        self.anchor = re.compile(b"|".join(map(re.escape, anchors)), re.I)
-
-    def candidates(self, tokens: list[bytes]) -> dict[tuple[int, int], list[int]]:
-        """(template, diagonal) -> places of the text where one of the template's fingerprints stands."""
-        found: dict[tuple[int, int], list[int]] = {}
-        for i, h in enumerate(gram_hashes(tokens)):
-            for t, at in self.posts.get(h, ()):
-                found.setdefault((t, i - at), []).append(i)
-        return found
+            for at in seeds(tokens, self.least):
+                self.posts.setdefault(tokens[at], []).append((t, at))
+        # a text with no seed has no candidate
+        self.anchor = re.compile(b"|".join(map(re.escape, sorted(self.posts))), re.I)
+
+    def candidates(self, tokens: list[bytes], band: int = BAND) -> dict[int, list[tuple[int, bool]]]:
+        """template -> diagonals, in order, whose band holds a seed and enough of the template's words, each with whether a seed stands on it."""
+        found: dict[int, set[int]] = {}
+        for i, w in enumerate(tokens):
+            for t, at in self.posts.get(w, ()):
+                found.setdefault(t, set()).add(i - at)
+        out = {}
+        for t, own in found.items():
+            template = self.tokens[t]
+            known = set(template)
+            hits = list(accumulate((w in known for w in tokens), initial=0))
+            kept = []
+            for d in sorted({x + k for x in own for k in range(-band, band + 1)}):
+                low, high = max(0, d - band), min(len(tokens), d + len(template) + band)
+                if low < high and hits[high] - hits[low] >= self.least * len(template) - 1e-9:
+                    kept.append((d, d in own))
+            if kept:
+                out[t] = kept
+        return out
 
 
 def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -102,21 +112,25 @@ def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = B
 def scan(index: Index, text: bytes | None, least: float = LEAST, band: int = BAND) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first byte, end byte) of each template found in a whole text, in order of place.
 
-    Candidates on diagonals of one template that lie within the band of each other are aligned once. Where reported
-    spans of different templates overlap, the one with more matched words stays (a notice inside a longer header goes).
+    Every diagonal within the band of a seed is a candidate; those a seed stands on come first, and those within half a
+    band of one that was reported are passed over. Where reported spans of different templates overlap, the one with
+    more matched words stays (a notice inside a longer header goes).
     """
     if not text or not index.anchor.search(text):
         return []
     tokens, spans = words(text)
     hits = []
-    last: dict[int, int] = {}
-    for t, diagonal in sorted(index.candidates(tokens)):
-        if t in last and diagonal - last[t] <= band // 2:
-            continue
-        last[t] = diagonal
-        matched, a, b = align(index.tokens[t], tokens, diagonal, band)
-        if matched >= least * len(index.tokens[t]):
-            hits.append((matched, t, a, b))
+    for t, diagonals in index.candidates(tokens, band).items():
+        done: list[int] = []
+        for seeded in (True, False):
+            for diagonal in (d for d, s in diagonals if s == seeded):
+                k = bisect_left(done, diagonal)
+                if any(abs(diagonal - x) <= band // 2 for x in done[max(0, k - 1) : k + 1]):
+                    continue
+                matched, a, b = align(index.tokens[t], tokens, diagonal, band)
+                if matched >= least * len(index.tokens[t]) - 1e-9:
+                    insort(done, diagonal)
+                    hits.append((matched, t, a, b))
     kept: list[tuple[int, int, int, int]] = []
     for m, t, a, b in sorted(hits, key=lambda h: (-h[0], -h[0] / len(index.tokens[h[1]]), h[2], h[1])):
         if all(b <= x or y <= a for _, _, x, y in kept):
@@ -132,7 +146,7 @@ def licenses(text: Column, templates: dict[str, str] | None = None, least: float
 
     A text that is null, empty or without a license gives an empty array. Repeated notices are reported each.
     """
-    index = Index(templates or TEMPLATES)
+    index = Index(templates or TEMPLATES, least)
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     @F.arrow_udf(SPANS)

@@ -398,6 +398,28 @@ def test_licenses(spark, odd):
     assert odd.limit(0).select(licenses.licenses(F.col("text"))).isEmpty()
 
 
+def test_one_word_edits_of_every_notice_are_found():
+    rng = random.Random(9)
+    index = licenses.Index()
+    for name, text in licenses.TEMPLATES.items():
+        w = text.split()
+        n = len(licenses.words(text.encode())[0])
+        for i in range(len(w)) if len(w) < 20 else range(0, len(w), 9):
+            for edit in (w[:i] + w[i + 1 :], w[:i] + ["zzz"] + w[i + 1 :], w[:i] + ["zzz"] + w[i:], w[:i] + ["zz"] * 7 + w[i:]):
+                said = f"{prose(15, rng)} {' '.join(edit)} {prose(15, rng)}".encode()
+                tokens = licenses.words(said)[0]
+                # alignment at all places
+                best = max(licenses.align(licenses.words(text.encode())[0], tokens, d)[0] for d in range(-8, len(tokens)))
+                found = {x[0]: x[1] for x in licenses.scan(index, said)}
+                if best >= licenses.LEAST * n:
+                    inside = [x for x in found if len(licenses.TEMPLATES[x]) >= len(text) or name.startswith("CC")]
+                    assert name in found or inside, (name, edit)
+                else:
+                    assert name not in found
+    for said, name in [("Licensed under the CC BY-NC 4.0", "CC-BY-NC-4.0-notice"), ("Released under MIT License", "MIT-notice"), ("Available under the MIT License", "MIT-notice"), ("Licensed under Apache License, Version 2.0", "Apache-2.0-notice")]:
+        assert [x[0] for x in licenses.scan(index, said.encode())] == [name]
+
+
 # packing
 
 
