@@ -110,6 +110,14 @@ def test_near_copies_are_all_those_of_brute_force(spark, monkeypatch, tile):
     assert all(r["text"] == texts[r["doc_id"]] for r in got) and got[0].__fields__ == d.columns
 
 
+def test_null_and_repeated_ids_lose_only_copies(spark):
+    a, b, c, d, e = (prose(30, random.Random(i)) for i in range(5))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (None, c), (3, e), (9, e + " x"), (None, ""), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], ", ".join(DOCS.split(", ")[:5])).repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.distinct(spark, frame, "").collect()]
+    assert len(got) == 6 and {x for x in got if x[1]} == {(None, a), (None, b), (7, c), (7, d), (3, e)}
+
+
 def test_run(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 100
 
