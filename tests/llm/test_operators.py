@@ -512,3 +512,35 @@ def test_chunked_grams(monkeypatch):
     whole = langid.grams(text)
     monkeypatch.setattr(langid, "CHUNK", 17)
     assert np.array_equal(langid.grams(text), whole)
+
+
+def test_units_are_encoded_as_in_their_texts(monkeypatch):
+    monkeypatch.setattr(tokenbin, "CACHE", 50)
+    code, rng = tokenbin.Encoder(queries.tokenizer_path()), random.Random(1)
+    parts = ["a", "Be", " ", "  ", "\n", "\t", "'", "'s", "'ll", "1", "²", "é", "́", "\xa0", "　", "日", "!", '"', "\x1c", "\x85", "А", "<|endoftext|>", "\r\n", "🙂", "\xad", "\x00", "԰", "​"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    for at in range(0, len(texts), 100):
+        ids, n = code.encode(pa.array(texts[at : at + 100]))
+        want = [e.ids for e in code.tokenizer.encode_batch(texts[at : at + 100], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_token_files_of_long_texts_and_text_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenbin, "CUT", 100)
+    monkeypatch.setattr(tokenbin, "CHUNK", 40)
+    code = tokenbin.Encoder(queries.tokenizer_path())
+    texts = ["", prose(300), "x" * 500, "é " * 200, prose(5), "12 <|endoftext|> " * 20, prose(80)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"k{i}" for i in range(len(texts))]), pa.array(texts)], ["key", "text"])
+
+    class Task:
+        get = staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())
+
+    monkeypatch.setattr(tokenbin, "TaskContext", Task)
+    got = {}
+    for b in tokenbin._chunks(iter([batch]), queries.tokenizer_path(), 2):
+        (r,) = b.to_pylist()
+        ids = tokenbin.unpack(r["ids"]).tolist()
+        for k, n in zip(r["keys"], r["counts"]):
+            got[k], ids = ids[:n], ids[n:]
+        assert not ids
+    assert got == {f"k{i}": code.tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
