@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import os
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import annotate, controls, report, scores, targets
-from .plans.design import Options, flagged_targets, guide_table
+from .plans.design import Options, flagged_targets, guide_table, release
 from .sources import genomes, sinks
 
 
@@ -38,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--efficiency_model", help="ONNX model of the on-target score")
     p.add_argument("--doench_efficiency_score", action="store_true")
     p.add_argument("--cfd_score", action="store_true")
-    p.add_argument("--cfd_weights", help="JSON of mismatch weights; without it, weights by rule")
+    p.add_argument("--cfd_weights", help="JSON of mismatch weights, which --cfd_score needs")
     p.add_argument("--plot_data", action="store_true", help="also write what plots are drawn from")
     p.add_argument("--config", help="YAML: CONTROL (MINIMUM_HMDIST, CONTROL_SEARCH_MULTIPLE), MINIMUM_PROPORTION")
     p.add_argument("--seed", type=int, default=1)
@@ -51,6 +52,8 @@ def validated(argv: list[str] | None = None) -> tuple[argparse.Namespace, Option
         raise ValueError("give either genbank or fasta")
     if a.fasta and not a.gff and not a.raw_output_only:
         raise ValueError("fasta needs gff, unless only raw guides are written")
+    if a.cfd_score and not a.cfd_weights:
+        raise ValueError("cfd_score needs cfd_weights")
     o = Options(a.pamseq, a.pam_orientation, a.guidelength, a.lsr, a.dtype, a.dist, a.before, a.into, a.knum, a.controls, tuple(a.restriction_enzyme_list), a.drop_restriction_sites, attribute_key=a.attribute_key, attributes=tuple(a.filter_by_attribute))
     return a, o
 
@@ -74,7 +77,7 @@ def annotation(spark: SparkSession, a: argparse.Namespace, minimum: float = 0.0)
         q = f.select(F.col("feature").alias("feature_id"), F.explode("qualifiers").alias("key", "values")).select("feature_id", "key", F.explode("values").alias("value"))
         return f.select("chrom", "fs", "fe", "fstrand", "feature"), annotate.qualifier_table(q, minimum=minimum)
     lines = genomes.read_lines(spark, a.gff).where(F.col("type").isin(*a.feature_types))
-    return annotate.gff_features(lines, tuple(a.feature_types)), annotate.qualifier_table(annotate.attributes(lines, genomes.sniff_annotation(a.gff[0])), minimum=minimum)
+    return annotate.gff_features(lines, tuple(a.feature_types)), annotate.qualifier_table(annotate.attributes(lines, genomes.sniff_annotation(a.gff[0], spark)), minimum=minimum)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -84,24 +87,28 @@ def main(argv: list[str] | None = None) -> None:
     at = lambda name: os.path.join(a.outdir, name)
     found = flagged_targets(sequences, o)
     if a.raw_output_only:
-        sinks.write_csv(targets.raw_guides(found), at("rawguides.csv.gz"))
+        sinks.write_csv(targets.raw_guides(found).orderBy("Chromosome", "Start", "Strand"), at("rawguides.csv.gz"))
+        release()
+        sequences.unpersist()
         return
     more = settings(a.config)
     features, qualifiers = annotation(spark, a, more.pop("minimum"))
-    weights = (scores.load_weights(a.cfd_weights) if a.cfd_weights else scores.rule_weights()) if a.cfd_score else None
-    table = guide_table(sequences, features, qualifiers, o, weights, a.efficiency_model, a.doench_efficiency_score)
+    weights = scores.load_weights(a.cfd_weights) if a.cfd_score else None
+    table = guide_table(sequences, features, qualifiers, o, weights, a.efficiency_model, a.doench_efficiency_score).persist()
     sinks.write_csv(table.orderBy("Accession", "Feature start", "Guide start", "Guide strand"), at("targets.csv.gz"))
     if o.controls:
         best, stats = controls.controls(sequences, found, o.controls, o.length, o.dtype, a.seed, **more)
         sinks.write_controls(best, at("controls.csv.gz"))
         print(f"controls: least distance {stats['min']}, median {stats['median']}")
     if a.plot_data:
-        places = sequences.select(F.col("seqid").alias("chrom"), F.length("seq").alias("extent"))
-        guides = found.select(F.col("seqid").alias("chrom"), F.col("start").alias("pos")).join(places, "chrom")
-        sinks.write_csv(report.density(guides), at("guide_density.csv.gz"))
+        sinks.write_csv(report.table_densities(table), at("density.csv.gz"))
         if "locus_tag" in table.columns:
             sinks.write_csv(report.locus_pam_counts(table), at("locus_counts.csv.gz"))
-    print(report.run_stats(found).first().asDict())
+    flagged = flagged_targets(sequences, replace(o, drop_sites=False))
+    print(report.design_stats(flagged, table, o.drop_sites).first().asDict())
+    for df in (table, sequences):
+        df.unpersist()
+    release()
 
 
 if __name__ == "__main__":

@@ -10,8 +10,8 @@ LINE = "seqid string, source string, type string, start int, end int, score stri
 
 
 def feature_id() -> F.Column:
-    """Id of a feature made from its columns."""
-    return F.md5(F.concat_ws("|", "seqid", "start", "end", "strand", "type", "attributes"))
+    """Id of a feature made from all columns of its line."""
+    return F.md5(F.concat_ws("\t", *[F.coalesce(F.col(c.split()[0]).cast("string"), F.lit(".")) for c in LINE.split(", ")]))
 
 
 def attributes(lines: DataFrame, form: str) -> DataFrame:

@@ -18,6 +18,34 @@ def run_stats(targets: DataFrame) -> DataFrame:
     )
 
 
+def design_stats(targets: DataFrame, table: DataFrame, sites_dropped: bool = False) -> DataFrame:
+    """What a run reports of its result, one row: run_stats, guides removed for a restriction site, rows of the guide table and how many of them lie in their feature.
+
+    targets: the scan with its flags, sites still in it; `sites_dropped` says whether the design left flagged guides out.
+    """
+    kept = table.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("Feature distance") == 0).alias("zero_distance"))
+    removed = F.col("with_site") if sites_dropped else F.lit(0).cast("long")
+    return run_stats(targets).withColumn("removed", removed).join(F.broadcast(kept), F.lit(True))
+
+
+def accession(table: DataFrame, name: str) -> DataFrame:
+    """The guide table of one sequence, as plots take it."""
+    return table.where(F.col("Accession") == name)
+
+
+def table_densities(table: DataFrame, points: int = 200) -> DataFrame:
+    """Densities of guides and of features along each accession of the guide table: (chrom, kind, x, density).
+
+    Both run from 1 to the accession's last feature end, with a bandwidth of a 200th of it; kind is guide or feature.
+    """
+    ends = table.groupBy(F.col("Accession").alias("chrom")).agg(F.max("Feature end").alias("extent"))
+    parts = []
+    for kind in ("guide", "feature"):
+        places = table.select(F.col("Accession").alias("chrom"), F.col(f"{kind.title()} start").alias("pos")).join(ends, "chrom")
+        parts.append(density(places, points).select("chrom", F.lit(kind).alias("kind"), "x", "density"))
+    return parts[0].unionByName(parts[1])
+
+
 def locus_pam_counts(table: DataFrame, key: str = "locus_tag") -> DataFrame:
     return table.groupBy(key, "PAM").agg(F.count(F.lit(1)).alias("guides"))
 

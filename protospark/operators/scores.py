@@ -129,15 +129,16 @@ def on_target_features(seq30: Column) -> Column:
     return F.when(seq30.rlike("^[ACGT]{25}GG[ACGT]{3}$"), F.concat(*parts))
 
 
-def on_target_scores(table: DataFrame, model: str | None, column: str = "target_seq30", pam: str = "NGG") -> DataFrame:
+def on_target_scores(table: DataFrame, model: str | None, column: str = "target_seq30", pam: str = "NGG", orientation: str = "3prime", length: int = 20) -> DataFrame:
     """Add `Efficiency` (double) and `efficiency_status`, with an ONNX model that the user supplies, one session a task.
 
-    The score is for 20-base guides with NGG on their 3' side: without a model, with another motif, or for a 30-mer
-    without features it is null, and the status says why.
+    The score is for 20-base guides with NGG on their 3' side: without a model, with another motif, side or length, or
+    for a 30-mer without features it is null, and the status says why.
     """
     x = table.withColumn("_features", on_target_features(F.col(column)))
-    if model is None or pam != "NGG":
-        why = "no model" if model is None else "motif is not NGG"
+    unfit = {"motif is not NGG": pam.upper() != "NGG", "motif is not on the 3prime side": orientation != "3prime", "guides do not have 20 bases": length != 20, "no model": model is None}
+    if any(unfit.values()):
+        why = next(w for w, so in unfit.items() if so)
         return x.drop("_features").withColumn("Efficiency", F.lit(None).cast("double")).withColumn("efficiency_status", F.lit(why))
 
     @F.arrow_udf("double")

@@ -206,7 +206,7 @@ def ann_recall_exact(spark, sf_dir):
 def near(spark, sf_dir, direction: str, which: str) -> DataFrame:
     unique = flagged_targets(genome(spark, sf_dir, which), options()).where("not isseedduplicated").select(F.col("seqid").alias("chrom"), F.col("start").alias("gs"), F.col("stop").alias("ge"), guide_key().alias("id"))
     found = intervals.nearest(unique, features(spark, sf_dir, which).drop("fstrand"))
-    return found.where(F.col("direction") == direction).select("id.*", "feature", "fs", "fe", "distance")
+    return found.where(F.col("direction") == direction).select("id.seqid", "id.start", "id.strand", "feature", "fs", "fe", "distance")
 
 
 @query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, feature, fs, fe, distance FROM near WHERE direction = 'downstream'")
@@ -221,7 +221,7 @@ def nearest_upstream(spark, sf_dir):
 
 @query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, target, direction, feature, fs, fe, distance FROM near")
 def nearby_features(spark, sf_dir):
-    return nearby(flagged_targets(genome(spark, sf_dir), options()), features(spark, sf_dir).drop("fstrand")).select("id.*", "target", "direction", "feature", "fs", "fe", "distance")
+    return nearby(flagged_targets(genome(spark, sf_dir), options()), features(spark, sf_dir).drop("fstrand")).select("id.seqid", "id.start", "id.strand", "target", "direction", "feature", "fs", "fe", "distance")
 
 
 @query(f"WITH {scan_sql(which='large')}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, direction, feature, distance FROM near WHERE {POSITION}")

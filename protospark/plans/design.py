@@ -49,9 +49,21 @@ class Options:
             raise ValueError("; ".join(broken))
 
 
+_kept: list[DataFrame] = []
+
+
 def held(df: DataFrame) -> DataFrame:
-    """Keep what several branches of a plan read, in memory or else on disk; what a lost executor held is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Keep what several branches of a plan read, in memory or else on disk; what a lost executor held is computed again.
+
+    `release` lets go of all that was kept, once the tables made from it are written.
+    """
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[-1]
+
+
+def release() -> None:
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def flagged_targets(sequences: DataFrame, o: Options) -> DataFrame:
@@ -64,8 +76,8 @@ def flagged_targets(sequences: DataFrame, o: Options) -> DataFrame:
 
 
 def guide_key() -> Column:
-    """A guide's place, which is unique: record, strand and start."""
-    return F.struct("seqid", "start", "strand")
+    """A guide's place, which is unique: record, strand and start. Records of one name are told apart by record_idx."""
+    return F.struct("record_idx", "seqid", "start", "strand")
 
 
 def attached(found: DataFrame, features: DataFrame, o: Options) -> DataFrame:
@@ -122,9 +134,9 @@ def guide_table(sequences: DataFrame, features: DataFrame, qualifiers: DataFrame
     if o.attributes:
         if o.attribute_key not in out.columns:
             raise ValueError(f"no attribute {o.attribute_key!r}; there are {', '.join(out.columns)}")
-        out = out.where(F.col(o.attribute_key).isin(*o.attributes))
+        out = out.where(F.col(f"`{o.attribute_key}`").isin(*o.attributes))
     if scored:
-        out = scores.on_target_scores(out, model, pam=o.pam).drop("target_seq30")
+        out = scores.on_target_scores(out, model, pam=o.pam, orientation=o.orientation, length=o.length).drop("target_seq30")
     return out
 
 

@@ -1,15 +1,19 @@
 """The guide design's operators, on small inputs with known or brute-force answers."""
 
 import gzip
+import json
+import math
+import os
 import random
+import struct
 from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
 from protospark.functions import dna
-from protospark.operators import annotate, controls, intervals, neighbors, scan, scores, targets
-from protospark.plans.design import Options, flagged_targets, guide_table
+from protospark.operators import annotate, controls, intervals, neighbors, report, scan, scores, targets
+from protospark.plans.design import Options, attached, flagged_targets, guide_table, nearby, release
 from protospark.sources import genomes
 from protospark.streaming.scan import stream_targets
 
@@ -273,3 +277,184 @@ def test_stream(spark, tmp_path):
     q.stop()
     batch = scan.find_targets(spark.read.parquet(str(tmp_path / "in")), scan.Pam("NGG")).select(F.right("target", F.lit(10)).alias("seedseq")).distinct()
     assert spark.table("streamed").count() == batch.count() > 0
+
+
+@pytest.mark.parametrize(
+    "text,place",
+    [
+        ("190..255", (189, 255, "+")), ("12", (11, 12, "+")), ("<5..9", (4, 9, "+")), ("5..>9", (4, 9, "+")), ("5^6", (5, 5, "+")),
+        ("join(4..10,20..30)", (3, 30, "+")), ("complement(join(4..10,20..>30))", (3, 30, "-")), ("join(complement(20..30),complement(4..10))", (3, 30, "-")),
+        ("order(1..2,\n   7..8)", (0, 8, "+")), ("(3.6)..9", (2, 9, "+")), ("one-of(3,5)..9", (2, 9, "+")), ("102.110", (101, 110, "+")),
+        ("join(X1.1:3..900,2..4)", (1, 4, "+")), ("X1.1:3..9", None), ("complement(join(2..3,complement(7..9)))", (1, 9, "-")),
+    ],
+)
+def test_locations(text, place):
+    assert genomes.parse_location(text) == place
+    for bad in ("", "..5", "3..", "a..b", "1..2..3", "join(1..2,x)"):
+        with pytest.raises(ValueError):
+            genomes.parse_location(bad)
+
+
+def genbank(name, seq, feats):
+    lines = [f"LOCUS       {name} {len(seq)} bp DNA", f"VERSION     {name}.1", "FEATURES             Location/Qualifiers"]
+    for kind, place, tag in feats:
+        lines += [f"     {kind:<16}{place}", f'                     /locus_tag="{tag}"']
+    lines += ["ORIGIN", *(f"{i + 1:>9} " + " ".join(seq[i + k : i + k + 10].lower() for k in range(0, 60, 10)) for i in range(0, len(seq), 60)), "//"]
+    return "\n".join(lines) + "\n"
+
+
+def test_annotated_genome_from_file_to_table(spark, tmp_path):
+    seq = bases(3000, random.Random(20))
+    places = {"t1": ("300..900", 299, 900, "+"), "t2": ("complement(1000..1400)", 999, 1400, "-"), "t3": ("join(1500..1600,1700..2000)", 1499, 2000, "+"), "t4": ("complement(<2200..2900)", 2199, 2900, "-")}
+    (tmp_path / "g.gbk").write_text(genbank("G1", seq, [("CDS", p[0], t) for t, p in places.items()] + [("gene", "1..3000", "g")]))
+    for path in (str(tmp_path / "g.gbk"), "file://" + str(tmp_path / "g.gbk")):
+        f = genomes.read_genbank_features(spark, [path])
+        assert {r["qualifiers"]["locus_tag"][0]: (r["fs"], r["fe"], r["fstrand"]) for r in f.collect()} == {t: p[1:] for t, p in places.items()}
+        seqs = genomes.read_sequences(spark, [path], "genbank")
+        assert [tuple(r) for r in seqs.collect()] == [(0, "G1.1", seq)]
+    q = f.select(F.col("feature").alias("Feature id"), F.col("qualifiers")["locus_tag"][0].alias("locus.tag"))
+    o = Options(before=100, into=150)
+    rows = guide_table(seqs, f.select("chrom", "fs", "fe", "fstrand", "feature"), q, o).collect()
+    feats = [(*p[1:3], t, p[3]) for t, p in places.items()]
+    found = flagged_targets(seqs, o).where("not isseedduplicated and length(target_seq30) = 30").collect()
+    want = set()
+    for g in found:
+        for d, (a, b, tag, strand) in slow_nearest((g["start"], g["stop"]), feats).values():
+            own, near = "+" if g["strand"] else "-", d
+            into = g["stop"] - a < 150 if strand == "+" else b - g["start"] < 150
+            if own == strand:
+                hit = 0 < near < 100 or near == 0 and into
+            elif strand == "+":
+                hit = 0 < a - g["stop"] < 100 or 0 < g["stop"] - a < 150
+            else:
+                hit = 0 < g["start"] - b < 100 or 0 < b - g["start"] < 150
+            if hit:
+                want.add((g["target"], g["start"] + 1, tag))
+    lists = {r["target"]: r["neighbors"][1]["dist"] for r in neighbors.neighbor_lists(neighbors.knn(flagged_targets(seqs, o), flagged_targets(seqs, o), 2)).collect()}
+    assert {(r["Guide sequence"], r["Guide start"], r["locus.tag"]) for r in rows} == {w for w in want if lists[w[0]] >= 2} != set()
+    only = guide_table(seqs, f.select("chrom", "fs", "fe", "fstrand", "feature"), q, Options(before=100, into=150, attribute_key="locus.tag", attributes=("t3",)))
+    assert {r["locus.tag"] for r in only.collect()} == {"t3"}
+    release()
+
+
+#: A GenBank file of record AP009180.1 (159,662 bases), if there is one.
+GENOME = os.environ.get("ANNOTATED_GENOME", "")
+
+
+@pytest.mark.skipif(not os.path.isfile(GENOME), reason="no annotated genome given")
+@pytest.mark.parametrize("side,rows", [("5prime", 900), ("3prime", 944)])
+def test_a_published_genome(spark, side, rows):
+    f = genomes.read_genbank_features(spark, [GENOME])
+    seqs, o = genomes.read_sequences(spark, [GENOME], "genbank"), Options(orientation=side)
+    q = annotate.qualifier_table(f.select(F.col("feature").alias("feature_id"), F.explode("qualifiers").alias("key", "values")).select("feature_id", "key", F.explode("values").alias("value")), without=())
+    assert f.count() == 182 and q.count() == 182 and len(q.columns) == 8
+    f = f.select("chrom", "fs", "fe", "fstrand", "feature")
+    table = guide_table(seqs, f, q, o)
+    assert table.count() == rows
+    if side == "5prime":
+        assert nearby(flagged_targets(seqs, o), f.drop("fstrand")).count() == 7074
+        assert table.where("locus_tag = 'CRP_001'").count() == 4
+    release()
+
+
+def test_records_of_one_name_stay_apart(spark):
+    one, two = bases(600), bases(600)
+    seqs = spark.createDataFrame([(0, "c", one), (1, "c", two)], "record_idx long, seqid string, seq string")
+    f = spark.createDataFrame([("c", 100, 400, "+", "F")], "chrom string, fs int, fe int, fstrand string, feature string")
+    x = flagged_targets(seqs, Options())
+    assert attached(x, f, Options()).groupBy("record_idx", "start", "strand", "direction").count().where("count > 1").isEmpty()
+    release()
+
+
+def test_published_weight(spark, tmp_path):
+    (tmp_path / "w.json").write_text(json.dumps({"mm": {"rU:dC,20": 0.176470588, "rA:dG,1": 0.9}, "pam": {"GG": 1.0}}))
+    w = scores.load_weights(str(tmp_path / "w.json"))
+    t = spark.createDataFrame([("GCATGCACAGCTAGCATGCATGCAGCT", "GCATGCACAGCTAGCATGCATGCAGCG")], "a string, b string")
+    assert t.select(scores.cfd(F.col("a"), F.col("b"), w).alias("s")).first()["s"] == pytest.approx(0.176470588, abs=1e-6)
+
+
+def linear_model(weights):
+    """Bytes of an ONNX model y = x W for rows of len(weights) numbers."""
+
+    def part(number, value):
+        if isinstance(value, int):
+            return varint(number << 3) + varint(value)
+        value = value.encode() if isinstance(value, str) else value
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def value(name, width):
+        shape = part(1, part(2, "N")) + part(1, part(1, width))
+        return part(1, name) + part(2, part(1, part(1, 1) + part(2, shape)))
+
+    tensor = part(1, len(weights)) + part(1, 1) + part(2, 1) + part(8, "W") + part(9, struct.pack(f"<{len(weights)}f", *weights))
+    node = part(1, "x") + part(1, "W") + part(2, "y") + part(4, "MatMul")
+    graph = part(1, node) + part(2, "g") + part(5, tensor) + part(11, value("x", len(weights))) + part(12, value("y", 1))
+    return part(1, 8) + part(7, graph) + part(8, part(1, "") + part(2, 13))
+
+
+def test_scores_by_a_model_and_their_gate(spark, tmp_path):
+    weights = [random.Random(i).uniform(-1, 1) / 50 for i in range(627)]
+    (tmp_path / "m.onnx").write_bytes(linear_model(weights))
+    good = [bases(25) + "GG" + bases(3) for _ in range(7)]
+    t = spark.createDataFrame([(s,) for s in [*good, bases(25) + "AA" + bases(3), "N" + good[0][1:], None]], "target_seq30 string")
+    for r in scores.on_target_scores(t, str(tmp_path / "m.onnx")).withColumn("f", scores.on_target_features(F.col("target_seq30"))).collect():
+        if r["target_seq30"] in good:
+            assert r["Efficiency"] == pytest.approx(sum(a * b for a, b in zip(weights, r["f"])), abs=1e-3) and r["efficiency_status"] == "scored"
+        else:
+            assert r["Efficiency"] is None and r["efficiency_status"] == "no features"
+    for more, why in (({"orientation": "5prime"}, "motif is not on the 3prime side"), ({"length": 21}, "guides do not have 20 bases"), ({"pam": "NAG"}, "motif is not NGG")):
+        assert {tuple(r)[1:] for r in scores.on_target_scores(t, str(tmp_path / "m.onnx"), **more).collect()} == {(None, why)}
+
+
+def test_position_words_and_melting(spark):
+    """Order-2 one-hot and the four melting temperatures by direct computation from the duplex tables."""
+    stack = {"AA": (-6.82, -19.0), "AU": (-9.38, -26.7), "UA": (-7.69, -20.5), "CU": (-10.48, -27.1), "CA": (-10.44, -26.9), "GU": (-11.40, -29.5), "GA": (-12.44, -32.5), "CG": (-10.64, -26.7), "GC": (-14.88, -36.9), "GG": (-13.39, -32.7)}
+    turn = str.maketrans("ACGU", "UGCA")
+
+    def tm(dna):
+        rna = dna.replace("T", "U")
+        steps = [stack.get(rna[i : i + 2]) or stack[rna[i : i + 2].translate(turn)[::-1]] for i in range(len(rna) - 1)]
+        weak = (rna[0] in "AU") + (rna[-1] in "AU")
+        h, s = 3.61 + 3.72 * weak + sum(x[0] for x in steps), -1.5 + 10.5 * weak + sum(x[1] for x in steps)
+        s += 0.368 * (len(rna) - 1) * math.log(0.05)
+        return 1000 * h / (s + 1.987 * math.log(12.5e-9)) - 273.15
+
+    seqs = [bases(25) + "GG" + bases(3) for _ in range(5)]
+    t = spark.createDataFrame([(s,) for s in seqs], "s string")
+    for r in t.select("s", scores.on_target_features(F.col("s")).alias("f")).collect():
+        words = [a + b for a in "ATCG" for b in "ATCG"]
+        hot = [float(r["s"][i : i + 2] == w) for i in range(29) for w in words]
+        assert r["f"][124:588] == hot and r["f"][588:604] == [sum(hot[k::16]) for k in range(16)]
+        assert r["f"][623:] == pytest.approx([tm(r["s"][a:b]) for a, b in ((0, 30), (19, 24), (11, 19), (6, 11))], abs=1e-3)
+
+
+def test_minimum_proportion_and_equal_lines(spark, tmp_path):
+    line = "c\ts\tCDS\t11\t20\t.\t+\t0\tID=a;note=n\n"
+    (tmp_path / "x.gff").write_text("##gff-version 3\n" + line * 2 + line.replace("ID=a;note=n", "ID=b") + line.replace("\t0\t", "\t1\t"))
+    lines = genomes.read_lines(spark, [str(tmp_path / "x.gff")])
+    assert lines.count() == 3  # a repeated line is one feature, a line of another phase another
+    q = annotate.qualifier_table(annotate.attributes(lines, "gff"), minimum=0.7)
+    assert q.columns == ["Feature id", "ID"]
+
+
+def test_report_of_a_table(spark):
+    rows = [("c1", s, s + 19, f, f + 90, d) for s, f, d in [(100, 90, 0), (150, 90, 0), (400, 420, 2), (900, 890, 0)]] + [("c2", 5, 24, 1, 50, 0)]
+    t = spark.createDataFrame(rows, "Accession string, `Guide start` int, `Guide end` int, `Feature start` int, `Feature end` int, `Feature distance` int")
+    found = report.table_densities(t, 20).collect()
+    for kind, k in (("guide", 1), ("feature", 3)):
+        own = {r["x"]: r["density"] for r in found if r["chrom"] == "c1" and r["kind"] == kind}
+        h, extent = max(1, round(980 / 200)), 980
+        for i in range(20):
+            x = 1 + i * (extent - 1) / 19
+            want = sum(math.exp(-(((x - r[k]) / h) ** 2) / 2) for r in rows if r[0] == "c1" and abs(x - r[k]) <= 5 * h) / (h * math.sqrt(2 * math.pi)) / 4
+            assert own.get(x, 0) == pytest.approx(want, abs=1e-9)
+    flags = spark.createDataFrame([("A", False, True), ("B", True, False), ("B", True, True)], "target string, isseedduplicated boolean, hasrestrictionsite boolean")
+    got = report.design_stats(flags, t, True).first().asDict()
+    assert got == {"targets": 3, "distinct_guides": 2, "seed_duplicates": 2, "with_site": 2, "removed": 2, "rows": 5, "zero_distance": 4}
+    assert report.accession(t, "c2").count() == 1
