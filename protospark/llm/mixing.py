@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, ranked
 
-#: Random offsets drawn per source, in units of 2**-20; the one whose words come nearest the target is used.
-DRAWS = 8
 #: Tables of a row per source are broadcast up to so many sources, and joined by shuffle beyond.
 MANY_SOURCES = 50_000
 
@@ -38,17 +36,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return x.select("source", "source_size", "target", "first_rank", rate.alias("rate"))
 
 
-def _offset(source: Column, draw: int, seed: int) -> Column:
-    key = F.concat_ws("|", F.lit(f"{seed}|{draw}"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))
+def _offset(source: Column, seed: int) -> Column:
+    """The random offset of a source, in units of 2**-20; the seed alone decides."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))
     return F.conv(F.substring(F.md5(key), 1, 5), 16, 10).cast("long") / F.lit(1 << 20)
 
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 7) -> DataFrame:
     """How often a mix of all documents to target weights takes each: rows (row: all columns of docs, size, source_size, target, copies).
 
-    Within a source, documents are put in order of size class (eighths of a power of two), then of the md5 of their
-    key. A document's expected copies are target / source_size; prefix sums of them along that order (rate times rank)
-    plus one random offset cross an integer once per copy. The order makes every stretch of sizes take its share, so
+    Within a source, the documents whose key's md5 is in the lower half stand in order of rising size class (eighths of
+    a power of two), the others after them in order of falling size class; within a class the md5 decides. A document's
+    expected copies are target / source_size; prefix sums of them along that order (rate times rank) plus one random
+    offset per source cross an integer once per copy, so each document's chance is its rate. Every stretch of sizes takes
+    its share, and both ends of the order, where a systematic sample may be one document off, hold small documents; so
     the words taken come near the target. The ranks are global (`ranked`), so a source with a third of all rows is
     spread over many partitions. All is derived from md5 with a seed: reruns agree.
 
@@ -60,8 +61,9 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     x = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), n.alias("size"), F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")).alias("_h"))
     bits = F.length(F.bin("size"))
     eighth = F.when(F.col("size") < 8, F.col("size")).otherwise(bits * 8 + F.expr("shiftright(size, cast(length(bin(size)) as int) - 4)") - 8)
-    x = x.withColumn("_class", eighth.cast("long"))
-    spread = ranked(x, [F.col("source").asc_nulls_last(), F.col("_class"), F.col("_h"), F.col("size")], "_rank")
+    falls = F.col("_h") >= "8"
+    x = x.withColumn("_class", F.when(falls, 1000 - eighth).otherwise(eighth).cast("long"))
+    spread = ranked(x, [F.col("source").asc_nulls_last(), falls, F.col("_class"), F.col("_h"), F.col("size")], "_rank")
     sizes = spread.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     targets = source_targets(sizes, weights, share, most)
     targets = cut(targets)
@@ -69,14 +71,9 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     known = spread.join(small(targets.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
     place = F.col("_rank") - F.col("first_rank")
 
-    def copies(offset: Column) -> Column:
-        return (F.floor(F.col("rate") * (place + 1) + offset) - F.floor(F.col("rate") * place + offset)).cast("long")
-
-    taken = known.groupBy("source", "target").agg(*[F.sum(copies(_offset(F.col("source"), k, seed)) * F.col("size")).alias(f"d{k}") for k in range(DRAWS)])
-    away = F.array_min(F.array(*[F.struct(F.abs(F.col(f"d{k}") - F.col("target")).alias("by"), F.lit(k).alias("k"), _offset(F.col("source"), k, seed).alias("offset")) for k in range(DRAWS)]))
-    chosen = taken.select(F.col("source").alias("_chosen"), away["offset"].alias("_offset"))
-    known = known.join(small(chosen), F.col("source").eqNullSafe(F.col("_chosen")))
-    return known.select("row", "size", "source_size", "target", copies(F.col("_offset")).alias("copies"))
+    at = F.col("rate") * place + _offset(F.col("source"), seed)
+    upto = F.col("rate") * (place + 1) + _offset(F.col("source"), seed)
+    return known.select("row", "size", "source_size", "target", (F.floor(upto) - F.floor(at)).cast("long").alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -31,27 +31,24 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OV
 t AS (SELECT source, source_size, CASE WHEN z IS NULL OR ratio < z THEN cap::DOUBLE ELSE weight * z END AS target,
              CASE WHEN z IS NULL OR ratio < z THEN 3.0::DOUBLE WHEN source_size > 0 THEN weight * z / source_size ELSE 0 END AS rate
       FROM l, (SELECT arg_min(lev, ratio) AS z FROM l WHERE lev <= ratio)),
-r AS (SELECT d.*, t.source_size, t.target, t.rate,
-             row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)) - 8 END, h, size) - 1 AS k
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-u AS (SELECT source, n, ('0x' || substr(md5('7|' || n || '|' || coalesce('s' || source, 'n')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS u FROM s, range(8) AS g(n)),
-e AS (SELECT u.source, u.u, u.n, sum((floor(rate * (k + 1) + u.u) - floor(rate * k + u.u)) * size) AS got, any_value(target) AS target
-      FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source GROUP BY ALL),
-b AS (SELECT source, u FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(got - target), n) = 1)
-SELECT doc_id, size, source_size, target, CAST((floor(rate * (k + 1) + u) - floor(rate * k + u)) AS BIGINT) * size AS taken,
-       CAST((floor(rate * (k + 1) + u) - floor(rate * k + u)) AS BIGINT) AS copies
-FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source
+r AS (SELECT d.*, t.source_size, t.target, t.rate, ('0x' || substr(md5('7|' || coalesce('s' || d.source, 'n')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS u,
+             row_number() OVER (PARTITION BY d.source ORDER BY h >= '8', CASE WHEN h >= '8' THEN -class ELSE class END, h, size) - 1 AS k
+      FROM (SELECT *, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)) - 8 END AS class FROM d) d
+      JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, CAST((floor(rate * (k + 1) + u) - floor(rate * k + u)) AS BIGINT) AS copies FROM r)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM x
 """
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    )
-    docs = cut(docs)
-    dims = [F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(16)), F.pmod(F.crc32(F.col("lang").cast("binary")), F.lit(16)), F.length(F.bin("size")) - 4]
-    out = sharding.shard(docs, dims, 24)
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    # quarters of a power of two
+    bits = F.length(F.bin("size"))
+    quarter = bits * 4 + F.expr("shiftright(size, cast(length(bin(size)) as int) - 3)") - 4
+    coded = sharding.codes(cut(docs), [F.col("source"), F.col("lang"), quarter])
+    out = sharding.shard(coded, [F.col("code0"), F.col("code1"), F.col("code2")], 24, group="text_hash")
     return out.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

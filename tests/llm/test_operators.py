@@ -272,11 +272,32 @@ def test_sharding(spark, odd, tmp_path):
         assert [r["curve"] for r in ordered] == sorted(r["curve"] for r in rows)
     assert sharding.shard(odd.limit(0), dims, 24).isEmpty()
     sharded = sharding.shard(d, dims, 5)
-    sharding.write_shards(sharded, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("_shard").count().count() == 5
+    sharding.write_shards(sharded, str(tmp_path / "s"), rows=50)
+    files = spark.read.parquet(str(tmp_path / "s")).groupBy("_shard", "_run", F.input_file_name().alias("f")).agg(F.min("_slot").alias("a"), F.max("_slot").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) == len({(r["_shard"], r["_run"]) for r in files}) == 20 and all(r["a"] == 50 * r["_run"] and r["b"] - r["a"] + 1 == r["n"] for r in files)
     assert {r["rows"] for r in sharding.manifest(sharded, ["doc_id"]).collect()} == {160}
 
 
+def test_codes_and_groups(spark, odd):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["hot"] * 9 + ["a", "b", "z", None]), rng.randint(0, 5), rng.choice([None, "g1", "g2", "g3", f"own{i}"])) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, s string, n int, g string").repartition(4)
+    coded = sharding.codes(frame, [F.col("s"), F.col("n")], 3).collect()
+    for c, name in (("code0", "s"), ("code1", "n")):
+        values = sorted(((r[name] is not None, r[name] if r[name] is not None else 0, r[c]) for r in coded), key=lambda v: (v[0], str(v[1])))
+        assert [v[2] for v in values] == sorted(v[2] for v in values) and 0 <= values[0][2] <= values[-1][2] < 8
+        for v in {v[:2] for v in values}:
+            below, own = sum(str(x[1]) < str(v[1]) if x[0] == v[0] else x[0] < v[0] for x in values), sum(x[:2] == v for x in values)
+            assert {x[2] for x in values if x[:2] == v} == {8 * (2 * below + own) // (2 * len(values))}
+    dims = [F.col("code0"), F.col("code1")]
+    x = sharding.shard(sharding.codes(frame, [F.col("s"), F.col("n")], 3), dims, 6, group="g", bits=3).select("row.*", "curve", "shard", "slot").collect()
+    x.sort(key=lambda r: (r["shard"], r["slot"]))
+    for g in ("g1", "g2", "g3"):
+        places = [i for i, r in enumerate(x) if r["g"] == g]
+        assert places == list(range(places[0], places[0] + len(places))) and len({x[i]["curve"] for i in places}) == 1
+    assert len(x) == 900 and sharding.codes(odd, [F.col("source"), F.col("label")]).count() == odd.count() and sharding.codes(odd.limit(0), [F.col("source")]).isEmpty()
+
+
 # simhash
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,26 @@ def test_packing_query(spark):
 
     info = [tuple(r) for r in d.select("doc_id", (word_count(F.col("text")) + 1).alias("n"), "source", F.xxhash64("text")).collect()]
     packing_holds(queries.op9_packing(spark, DATA).withColumnRenamed("doc_id", "key").collect(), info, packing.CAPACITY)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_sharding_query(spark):
+    d = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    out = queries.op5_sharding(spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(d) and {(r["law"], r["grown_shard"]) for r in out} == {("rows", None)}
+    shards = {}
+    for r in out:
+        raw = (d[r["doc_id"]]["text"] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
+        shards.setdefault(r["shard"], []).append(r)
+    assert set(shards) == set(range(24)) and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in shards.values())
+    line = [d[r["doc_id"]] for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
+    for text in {r["text"] or "" for r in line}:
+        at = [i for i, r in enumerate(line) if (r["text"] or "") == text]
+        assert at == list(range(at[0], at[0] + len(at)))
+    # each shard meets few of the values, which is what readers prune by
+    for c, most in (("source", 0.5), ("lang", 0.6)):
+        values = {r[c] for r in line}
+        met = [len({d[r["doc_id"]][c] for r in x}) for x in shards.values()]
+        assert sum(met) / len(met) <= most * len(values)
