@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens of a window's new turns and of its repeated history, turns repeated at most, and tokens of a turn's marks.
+#: Tokens of a window, of them for repeated history at most, turns repeated at most, and tokens of a turn's marks.
 BUDGET, HISTORY, REPEATS, MARKS = 1024, 256, 4, 5
 
 
@@ -36,38 +36,59 @@ def tokens(text: Column) -> Column:
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, repeats: int = REPEATS) -> DataFrame:
     """Format conversations into windows: rows (conv, win, text, marks, n_tokens).
 
-    Prefix sums of the tokens of a conversation's turns, a leading system turn left out, choose the spans: turns that
-    begin and end within the same multiple of `budget` go together, a turn that crosses one goes by itself; so new
-    turns take `budget` tokens at most, unless one turn alone takes more, which is never cut. Each window begins with
-    the leading system turn, then repeats the turns before the span that lie within `history` tokens of it (the last
-    `repeats` at most), then has its new turns. `marks` has for each turn in the text: start and length of its escaped
-    content in code points, fresh (not a repeat), and loss (a fresh assistant turn). System turns further on are turns
-    like others. A conversation of one system turn is one window.
+    A window has the leading system turn, then repeated turns, then new ones, and `budget` tokens in all. Windows are
+    filled one after the other: prefix sums of the turns' tokens since the window's first new turn tell how far it
+    reaches, and the turn that no longer fits opens the next. The turns before that one are repeated in it: the last
+    `repeats` at most, as far as they have `history` tokens together; none of them if the turn itself would not fit
+    beside them. A turn is never cut, so a window exceeds the budget only if its single new turn does so beside the system
+    turn. A leading system turn of more than half the budget is a turn like others, and not retained. `marks` has for each
+    turn in the text: start and length of its escaped content in code points, fresh (not a repeat), and loss (a fresh
+    assistant turn). Further system turns are turns like others. A conversation of one system turn is one window.
 
     Turns are ordered by turn, then role, then text, nulls first; a null text or role counts as empty, a null
-    conversation is a conversation. Repeated rows are turns of their own. Empty in, empty out.
+    conversation is a conversation. Repeated rows are turns of their own. Empty in, empty out. The places where a
+    conversation's windows begin are found in one row, which holds its turns' tokens but no text.
     """
     x = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # one exchange by conversation serves all that follows
+    x = x.repartition("conv")
     x = x.withColumn("k", F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text")))
     x = x.select("conv", "k", "role", escape_role(F.col("role")).alias("role_text"), escape(F.col("text")).alias("body"))
-    x = x.withColumn("is_head", (F.col("k") == 1) & (F.col("role") == "system"))
-    x = x.withColumn("cost", F.when(F.col("is_head"), F.lit(0)).otherwise(tokens(F.col("body"))).cast("long"))
+    x = x.withColumn("cost", tokens(F.col("body")).cast("long"))
+    x = x.withColumn("is_head", (F.col("k") == 1) & (F.col("role") == "system") & (F.col("cost") <= budget // 2))
     by_k = Window.partitionBy("conv").orderBy("k")
     so_far = by_k.rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("upto", F.sum("cost").over(so_far)).withColumn("from", F.col("upto") - F.col("cost"))
-    begin, end = F.expr(f"`from` div {budget}"), F.expr(f"(upto - 1) div {budget}")
-    x = x.withColumn("span", F.when(begin == end, 2 * begin).otherwise(2 * end - 1))
-    here = F.struct("k", "from", "role_text", "body", (F.col("role") == "assistant").alias("target"))
+    here = F.struct("k", "cost", "role_text", "body", (F.col("role") == "assistant").alias("target"))
     x = x.select(
-        "conv", "k", "from", "span", "is_head", here.alias("new"),
+        "conv", "k", "cost", "is_head", here.alias("new"),
         F.first(F.when(F.col("is_head"), here)).over(so_far).alias("head"),
         F.lead("k").over(by_k).isNull().alias("last"),
-        (F.col("span") != F.lag("span").over(by_k)).alias("opens"),
         F.collect_list(F.when(~F.col("is_head"), here)).over(by_k.rowsBetween(-repeats, -1)).alias("before"),
     )
+    room = F.lit(budget) - F.coalesce(F.col("head.cost"), F.lit(0))
+    # how many of the turns before are repeated if this one opens a window, and their tokens
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("tokens"), F.lit(True).alias("on"))
+
+    def more(s: Column, t: Column) -> Column:
+        fits = s["on"] & (s["tokens"] + t["cost"] <= history) & (s["tokens"] + t["cost"] + F.col("cost") <= room)
+        return F.struct((s["n"] + fits.cast("int")).alias("n"), (s["tokens"] + F.when(fits, t["cost"]).otherwise(0)).alias("tokens"), fits.alias("on"))
+
+    x = x.withColumn("again", F.aggregate(F.reverse("before"), none, more)).withColumn("room", room)
+    sizes = x.where(~F.col("is_head")).groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("k", "cost", F.col("again.tokens").alias("tokens"), "room"))).alias("turns"))
+    begun = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("left"))
+
+    def step(s: Column, t: Column) -> Column:
+        opens = (F.size(s["starts"]) == 0) | (t["cost"] > s["left"])
+        left = F.when(opens, t["room"] - F.when(F.size(s["starts"]) == 0, 0).otherwise(t["tokens"])).otherwise(s["left"])
+        return F.struct(F.when(opens, F.concat(s["starts"], F.array(t["k"]))).otherwise(s["starts"]).alias("starts"), (left - t["cost"]).alias("left"))
+
+    starts = sizes.select(F.col("conv").alias("_conv"), F.aggregate("turns", begun, step)["starts"].alias("starts"))
+    x = x.join(starts.hint("merge"), F.col("conv").eqNullSafe(F.col("_conv")), "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+    x = x.withColumn("win", F.size(F.filter("starts", lambda s: s <= F.col("k"))))
+    opens = (F.col("win") > 1) & F.array_contains("starts", F.col("k"))
+    x = x.select("conv", "win", "is_head", "new", "head", "last", F.when(opens, F.slice("before", F.size("before") - F.col("again.n") + 1, F.col("again.n"))).alias("again"))
     x = x.where(~F.col("is_head") | F.col("last"))
-    x = x.withColumn("again", F.when(F.col("opens"), F.filter("before", lambda t: t["from"] >= F.col("from") - history)))
-    group = x.groupBy("conv", "span").agg(F.sort_array(F.collect_list("new")).alias("new"), F.max("again").alias("again"), F.max(F.when(~F.col("is_head"), F.col("head"))).alias("head"))
+    group = x.groupBy("conv", "win").agg(F.sort_array(F.collect_list("new")).alias("new"), F.max("again").alias("again"), F.max(F.when(~F.col("is_head"), F.col("head"))).alias("head"))
 
     def tagged(turns: Column, fresh: Column) -> Column:
         empty = F.array().cast("array<struct<role_text: string, body: string, fresh: boolean, loss: boolean>>")
@@ -75,7 +96,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
     lead = F.get(F.col("new"), F.lit(0))["k"] == 2
     head = tagged(F.when(F.col("head").isNotNull(), F.array("head")), lead)
-    return render(group.select("conv", F.col("span").alias("win"), F.concat(head, tagged(F.col("again"), F.lit(False)), tagged(F.col("new"), F.lit(True))).alias("turns")))
+    return render(group.select("conv", "win", F.concat(head, tagged(F.col("again"), F.lit(False)), tagged(F.col("new"), F.lit(True))).alias("turns")))
 
 
 def render(group: DataFrame) -> DataFrame:

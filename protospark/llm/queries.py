@@ -110,19 +110,28 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM t),
-h AS (SELECT *, k = 1 AND role = 'system' AS head, n + length(role) + 24 AS chars, CASE WHEN k = 1 AND role = 'system' THEN 0 ELSE (n + 3) // 4 + 5 END AS cost FROM k),
-p AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM h),
-s AS (SELECT *, upto - cost AS fr, CASE WHEN (upto - cost) // 1024 = (upto - 1) // 1024 OR head THEN 2 * ((upto - cost) // 1024) ELSE 2 * ((upto - 1) // 1024) - 1 END AS span FROM p),
-o AS (SELECT *, CASE WHEN span <> lag(span) OVER w THEN
-        coalesce(CASE WHEN lag(fr, 1) OVER w >= fr - 256 AND NOT lag(head, 1) OVER w THEN lag(chars, 1) OVER w END, 0) + coalesce(CASE WHEN lag(fr, 2) OVER w >= fr - 256 AND NOT lag(head, 2) OVER w THEN lag(chars, 2) OVER w END, 0)
-      + coalesce(CASE WHEN lag(fr, 3) OVER w >= fr - 256 AND NOT lag(head, 3) OVER w THEN lag(chars, 3) OVER w END, 0) + coalesce(CASE WHEN lag(fr, 4) OVER w >= fr - 256 AND NOT lag(head, 4) OVER w THEN lag(chars, 4) OVER w END, 0) ELSE 0 END AS again
-      FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
-g AS (SELECT conv_id, count(*) AS n_turns, coalesce(sum(chars) FILTER (WHERE NOT head), 0) + sum(again) + coalesce(sum(chars) FILTER (WHERE head), 0) * greatest(1, count(DISTINCT span) FILTER (WHERE NOT head)) AS formatted_chars,
-             string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS said, coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS loss FROM o GROUP BY conv_id)
-SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM t),
+c AS (SELECT conv_id, role, text, k, n + length(role) + 24 AS chars, (n + 3) // 4 + 5 AS cost, k = 1 AND role = 'system' AND (n + 3) // 4 + 5 <= 512 AS head FROM n),
+h AS (SELECT *, max(CASE WHEN head THEN cost ELSE 0 END) OVER w AS hcost, max(CASE WHEN head THEN chars ELSE 0 END) OVER w AS hchars FROM c WINDOW w AS (PARTITION BY conv_id)),
+l AS (SELECT *, CASE WHEN NOT lag(head, 1) OVER w THEN lag(cost, 1) OVER w END AS c1, CASE WHEN NOT lag(head, 2) OVER w THEN lag(cost, 2) OVER w END AS c2,
+             CASE WHEN NOT lag(head, 3) OVER w THEN lag(cost, 3) OVER w END AS c3, CASE WHEN NOT lag(head, 4) OVER w THEN lag(cost, 4) OVER w END AS c4,
+             lag(chars, 1) OVER w AS s1, lag(chars, 2) OVER w AS s2, lag(chars, 3) OVER w AS s3, lag(chars, 4) OVER w AS s4, least(256, 1024 - hcost - cost) AS most
+      FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+a AS (SELECT *, CASE WHEN c1 + c2 + c3 + c4 <= most THEN 4 WHEN c1 + c2 + c3 <= most THEN 3 WHEN c1 + c2 <= most THEN 2 WHEN c1 <= most THEN 1 ELSE 0 END AS r FROM l),
+g AS (SELECT conv_id, k, cost, chars, head, hcost, hchars, CASE r WHEN 0 THEN 0 WHEN 1 THEN c1 WHEN 2 THEN c1 + c2 WHEN 3 THEN c1 + c2 + c3 ELSE c1 + c2 + c3 + c4 END AS again,
+             CASE r WHEN 0 THEN 0 WHEN 1 THEN s1 WHEN 2 THEN s1 + s2 WHEN 3 THEN s1 + s2 + s3 ELSE s1 + s2 + s3 + s4 END AS repeated FROM a),
+f AS (SELECT conv_id, min(k) AS k FROM g WHERE NOT head GROUP BY conv_id),
+w AS (SELECT g.conv_id, g.k, 1024 - hcost - cost AS room, 1 AS win, CAST(chars + hchars AS BIGINT) AS chars FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id AND g.k = f.k
+      UNION ALL SELECT g.conv_id, g.k, CASE WHEN g.cost > w.room THEN 1024 - g.hcost - g.again ELSE w.room END - g.cost, CASE WHEN g.cost > w.room THEN w.win + 1 ELSE w.win END,
+             g.chars + CASE WHEN g.cost > w.room THEN g.hchars + g.repeated ELSE 0 END FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.k = w.k + 1),
+o AS (SELECT conv_id, sum(chars) AS chars FROM w GROUP BY conv_id)
+SELECT CAST(c.conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(coalesce(any_value(o.chars), sum(c.chars)) AS BIGINT) AS formatted_chars
+FROM c LEFT JOIN o ON c.conv_id IS NOT DISTINCT FROM o.conv_id GROUP BY c.conv_id
 """
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,7 +188,7 @@ def test_planes():
 
 
 def slow_stats(text):
-    words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
+    words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     covered = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
     seen, dup = set(), 0
@@ -364,6 +365,28 @@ def test_near_duplicates(spark, odd):
 # chat
 
 
+def slow_windows(turns):
+    """(length, fresh) of each turn of each window, one turn after the other."""
+    body = [len(re.sub(r"<(\\*)\|", r"<\1\\|", t)) for _, _, t in turns]
+    cost = [-(-n // 4) + chat.MARKS for n in body]
+    head = turns[0][1] == "system" and cost[0] <= chat.BUDGET // 2
+    lead = [(body[0], False)] if head else []
+    out, left = [], 0
+    for k in range(head, len(turns)):
+        if not out or cost[k] > left:
+            left, again = chat.BUDGET - head * cost[0], []
+            for j in range(k - 1, max(head, k - chat.REPEATS) - 1, -1) if out else ():
+                tokens = sum(cost[i] for i in (*again, j))
+                if tokens > chat.HISTORY or tokens + cost[k] > left:
+                    break
+                again.append(j)
+            left -= sum(cost[i] for i in again)
+            out.append([*([(body[0], True)] if head and not out else lead), *((body[i], False) for i in again[::-1])])
+        out[-1].append((body[k], True))
+        left -= cost[k]
+    return out or [[(body[0], True)]]
+
+
 def test_chat_windows_read_back(spark):
     rng = random.Random(3)
     evil = ["<|im_end|>", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|", "<", "|", "\\n", "", None, "ends with <", "|starts", "日本 é", "long " * 1500]
@@ -391,11 +414,16 @@ def test_chat_windows_read_back(spark):
         assert r["formatted_chars"] == sum(len(w["text"]) for w in made[c])
         for w in made[c]:
             assert w["text"].count(chat.START) == w["text"].count(chat.END) == len(w["marks"])
-            fresh = sum(-(-m["length"] // 4) + chat.MARKS for m in w["marks"] if m["fresh"])
-            assert fresh <= chat.BUDGET + 2000 if sum(m["fresh"] for m in w["marks"]) <= 2 else fresh <= chat.BUDGET + 100
+            cost = [-(-m["length"] // 4) + chat.MARKS for m in w["marks"]]
+            assert w["n_tokens"] == sum(cost)
+            new = sum(m["fresh"] for m in w["marks"]) - (w["win"] == 1 and len(w["marks"]) > 1)
+            assert sum(cost) <= chat.BUDGET or new <= 1
+            assert sum(c for c, m in zip(cost, w["marks"]) if not m["fresh"]) <= chat.HISTORY + chat.BUDGET // 2
             assert not any(m["loss"] and not m["fresh"] for m in w["marks"])
-            if turns[0][1] == "system":
+            if turns[0][1] == "system" and -(-len(turns[0][2]) // 4) + chat.MARKS + 9 <= chat.BUDGET // 2:
                 assert w["text"].startswith(chat.START + "system\n")
+        # brute force: each turn goes into the open window if it fits there, and opens the next if not
+        assert [list(map(tuple, x)) for x in slow_windows(turns)] == [[(m["length"], m["fresh"]) for m in w["marks"]] for w in sorted(made[c], key=lambda w: w["win"])]
     assert any(len(w) > 3 for w in made.values()) and any(not m["fresh"] for w in made.values() for x in w for m in x["marks"])
     assert chat.digest(chat.windows(frame.limit(0))).isEmpty()
 
