@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: Tokens of a bin, documents of one source it takes at most, and documents that are packed together.
-CAPACITY, PER_SOURCE, GROUP = 2048, 2, 4096
+CAPACITY, PER_SOURCE, GROUP = 2048, 3, 4096
 
 
 class Packer:
@@ -59,9 +59,10 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, key: st
 
     A document of more than `capacity` tokens is cut into pieces: those that fill a bin have one to themselves, the
     rest is packed like a document. No bin holds two documents of one duplicate cluster or more than `per_source` of
-    one source. Documents are dealt evenly into packs of about `group` rows, by a hash that ignores source and cluster,
-    so a hot source or a large group of copies is spread over all packs, each task holds one bounded pack, and a bin
-    is (pack, bin); bins below 0 are those that one piece fills. `first` and `length` say which tokens of the document
+    one source. Documents are dealt evenly into packs of about `group` rows by a hash of all their columns and, for equal
+    rows, of a number, so a hot source or a large group of copies is spread over all packs, each task holds one bounded
+    pack, and reruns agree however the rows are partitioned. Best fit holds within a pack. A bin is (pack, bin); bins
+    below 0 are those that one piece fills. `first` and `length` say which tokens of the document
     the piece holds, `at` where in the bin it begins.
 
     A null size or one below 0 counts 0; documents of size 0 have no piece. A null source is a source, a null cluster a
@@ -70,27 +71,28 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, key: st
     n = docs.count()
     packs = max(1, -(-n // group))
     x = docs.select(F.col(key).alias("key"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
-    # rows of one key (copies that a mix takes) are told apart by their place, so that they spread over packs as well
-    x = x.withColumn("pack", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(packs)).cast("int"))
+    # equal rows (copies that a mix takes) are numbered, so that they spread over packs as well, and reruns agree
+    x = x.groupBy("key", "size", "source", "cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    x = x.withColumn("pack", F.pmod(F.xxhash64("key", "size", "source", "cluster", "copy"), F.lit(packs)).cast("int"))
     kind = x.schema["key"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
         packer = Packer(capacity, per_source)
         pack_no = rows.column("pack")[0].as_py()
-        keys, sizes, sources, clusters = (rows.column(c).to_pylist() for c in ("key", "size", "source", "cluster"))
+        every = zip(*(rows.column(c).to_pylist() for c in ("key", "size", "source", "cluster")))
+        every = sorted(every, key=lambda r: [(v is not None, v) for v in r])
         out: list[tuple] = []
         whole = 0
         rest = []
-        for k, n, s, c in zip(keys, sizes, sources, clusters):
+        for k, n, s, c in every:
             full = n // capacity
             out += [(k, p, p * capacity, capacity, pack_no, -1 - whole - p, 0) for p in range(full)]
             whole += full
             if n % capacity:
-                rest.append((-(n % capacity), k is None, k or 0, full, s, c, n))
-        rest.sort(key=lambda r: (*r[:4], r[4] or "", r[5] or 0))
-        for small, none, k, p, s, c, _ in rest:
-            at, begin = packer.place(-small, s, c)
-            out.append((None if none else k, p, p * capacity, -small, pack_no, at, begin))
+                rest.append((n % capacity, k, full, s, c))
+        for length, k, p, s, c in sorted(rest, key=lambda r: -r[0]):  # equal lengths stay in order of key
+            at, begin = packer.place(length, s, c)
+            out.append((k, p, p * capacity, length, pack_no, at, begin))
         names = ["key", "piece", "first", "length", "pack", "bin", "at"]
         types = [rows.schema.field("key").type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         columns = list(zip(*out)) if out else [[]] * len(names)
