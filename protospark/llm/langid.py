@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +17,10 @@ BITS, BLOCK, CHUNK = 12, 256, 1 << 20
 #: Anything ASCII but a lower-case letter counts as a space.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 UNKNOWN = "und"
-#: n-grams that a text must have for its distance to count against it.
-ENOUGH = 30
+#: Lengths, in powers of two, for which each language has a radius.
+LENGTHS = 8
+#: Texts and stretches by which a radius is set, at least.
+MANY = 300
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -36,9 +39,26 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def sizes(counts: np.ndarray) -> np.ndarray:
+    """The binary logarithm of each row's n-grams, whole, from 0 to LENGTHS; a row without any counts as having one."""
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int), LENGTHS)
+
+
+def parts(text: str) -> list[str]:
+    """A text and stretches of it of 4, 8, 16, ... characters, at places that its hash sets."""
+    out, h = [text], zlib.crc32(text.encode())
+    for b in range(2, LENGTHS):
+        if 2**b >= len(text):
+            break
+        at = (h * (2 * b + 1)) % (len(text) - 2**b + 1)
+        out.append(text[at : at + 2**b])
+    return out
+
+
 @dataclass
 class Model:
-    """Centroids with their languages and rejection radii; `idf` weighs the dimensions."""
+    """Centroids with their languages; `idf` weighs the dimensions; radius[k, b] is the least cosine of language k for texts
+    of 2**b to 2**(b + 1) - 1 n-grams."""
 
     langs: list[str]
     idf: np.ndarray
@@ -66,26 +86,30 @@ class Model:
             odds = np.exp(25 * (best - best.max(axis=1, keepdims=True)))
             score[rows] = 1 / odds.sum(axis=1)
             cosine[rows] = best[np.arange(len(rows)), top]
-            rejected[rows] = (cosine[rows] < self.radius[top]) & (counts.sum(axis=1) >= ENOUGH)
+            rejected[rows] = cosine[rows] < self.radius[top, sizes(counts)]
             for i, k in zip(rows, top):
                 langs[i] = self.langs[k]
         return langs, np.clip(score, 0, 1), cosine, rejected
 
 
-def fit(sample: list[tuple[str, np.ndarray]], clusters: int = 4, slack: float = 0.75, rounds: int = 12, low: float = 1) -> Model:
-    """Spherical k-means within each language; a language's radius is `slack` times a low percentile of its training cosines.
+def fit(sample: list[tuple[str, list[np.ndarray]]], clusters: int = 4, slack: float = 0.75, rounds: int = 12, low: float = 1) -> Model:
+    """Spherical k-means within each language, and its rejection radii.
 
-    Only rows with ENOUGH n-grams count for the radius, as only those can be rejected, or all rows if none has. Rows
+    sample: rows of (language, counts of a whole text and of stretches of it). The centroids come from whole texts. A
+    radius is `slack` times the `low` percentile of the cosines that the sample's texts and stretches of that length have,
+    or what a neighbouring length has more rows to say: lengths with few rows are put together with longer ones. So one
+    rule holds at all lengths: what lies farther out than the language's own texts of its length do is rejected. Rows
     without any n-gram teach nothing. A centroid that less than `low` percent of a language's rows are nearest to goes:
     a few rows of another language under this label would make that language known.
     """
-    sample = [(lang, c) for lang, c in sample if c.any()]
+    sample = [(lang, c) for lang, c in sample if c[0].any()]
     langs = sorted({lang for lang, _ in sample})
+    none = np.zeros((len(langs), LENGTHS + 1))
     if not langs:
-        return Model([], np.zeros(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros(0))
-    counts = np.stack([c for _, c in sample])
+        return Model([], np.zeros(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), none)
+    counts = np.stack([c[0] for _, c in sample])
     idf = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(langs, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros(len(langs)))
+    model = Model(langs, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), none)
     v, lang = model.vectors(counts), np.array([langs.index(x) for x, _ in sample])
     centroids, owner = [], []
     for k in range(len(langs)):
@@ -100,8 +124,23 @@ def fit(sample: list[tuple[str, np.ndarray]], clusters: int = 4, slack: float =
         c = c[np.bincount((own @ c.T).argmax(axis=1), minlength=len(c)) >= low / 100 * len(own)]
         centroids.append(c)
         owner += [k] * len(c)
-        enough = counts[lang == k].sum(axis=1) >= ENOUGH
-        model.radius[k] = slack * np.percentile(((own[enough] if enough.any() else own) @ c.T).max(axis=1), low)
+        near, size = [], []
+        for row in (r for (x, r) in sample if x == langs[k]):  # a row at a time: its stretches are few
+            some = np.stack([y for y in row if y.any()])
+            near.append((model.vectors(some) @ c.T).max(axis=1))
+            size.append(sizes(some))
+        near, size = np.concatenate(near), np.concatenate(size)
+        for b in range(LENGTHS + 1):
+            at = size == b
+            wide = b
+            while at.sum() < min(MANY, len(size)) and wide < LENGTHS:  # longer ones too, then shorter ones
+                wide += 1
+                at |= size == wide
+            wide = b
+            while at.sum() < min(MANY, len(size)):
+                wide -= 1
+                at |= size == wide
+            model.radius[k, b] = slack * np.percentile(near[at], low)
     model.centroids, model.owner = np.vstack(centroids).astype(np.float32), np.array(owner)
     return model
 
@@ -109,41 +148,49 @@ def fit(sample: list[tuple[str, np.ndarray]], clusters: int = 4, slack: float =
 def train(docs: DataFrame, per_lang: int = 600, total: int = 6000, key: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 3) -> Model:
     """Fit on a sample of labelled rows of about `per_lang` a language, or `total` over all if there are many languages.
 
-    Rows are drawn by a hash of their key, so reruns agree. Executors turn each sampled text, read whole, into sparse
-    counts of 2**BITS dimensions at most; only those go to the driver. Rows with null text or language, or a text without an n-gram, teach nothing.
+    Rows are drawn by a hash of key and text, and equal rows teach once, so reruns agree and a repeated key brings no flood.
+    The `total` / 2 most frequent languages are learned; a language beyond them gets no row, and its texts are judged by
+    their distance to the others. Executors turn each sampled text, read whole, and stretches of it into sparse counts
+    of 2**BITS dimensions at most; only those go to the driver. Rows with null text or language, or a text without an
+    n-gram, teach nothing.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(total // 2).collect()}
-    each = min(per_lang, total // max(1, len(sizes)))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30))
-    chosen = [F.when(F.col("lang") == k, drawn < int((1 << 30) * each / n)) for k, n in sizes.items()]
+    drawn = F.xxhash64(F.lit(seed), key, text)
+    rows = docs.select(drawn.alias("drawn"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    counted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(total // 2).collect()}
+    each = min(per_lang, total // max(1, len(counted)))
+    chosen = [F.when(F.col("lang") == k, F.pmod("drawn", F.lit(1 << 30)) < int((1 << 30) * each / n)) for k, n in counted.items()]
 
-    @F.arrow_udf("struct<at: array<int>, n: array<float>>")
+    @F.arrow_udf("array<struct<at: array<int>, n: array<float>>>")
     def sparse(texts: pa.Array) -> pa.Array:
         out = []
         for x in texts:
-            c = grams(x.as_py())
-            at = np.flatnonzero(c)
-            out.append({"at": at.astype(np.int32), "n": c[at]})
-        return pa.array(out, pa.struct([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))]))
+            every = [grams(t) for t in parts(x.as_py())]
+            out.append([{"at": np.flatnonzero(c).astype(np.int32), "n": c[c > 0]} for c in every])
+        return pa.array(out, pa.list_(pa.struct([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])))
 
     sample = []
     if chosen:
-        for r in rows.where(F.coalesce(*chosen)).select("key", "lang", sparse("text").alias("c")).collect():
-            c = np.zeros(1 << BITS, np.float32)
-            c[r["c"]["at"]] = r["c"]["n"]
-            sample.append((r["key"], r["lang"], c))
-    sample.sort(key=lambda x: (x[1], str(x[0]), x[2].tobytes()))
-    return fit([(x[1], x[2]) for x in sample])
+        once = rows.where(F.coalesce(*chosen)).dropDuplicates(["drawn", "lang"])
+        for r in once.select("drawn", "lang", sparse("text").alias("c")).collect():
+            sample.append((r["lang"], r["drawn"], r["c"]))
+    sample.sort(key=lambda x: x[:2])
+    return fit([(k, [_dense(c) for c in cs]) for k, _, cs in sample])
+
+
+def _dense(c) -> np.ndarray:
+    out = np.zeros(1 << BITS, np.float32)
+    out[c["at"]] = c["n"]
+    return out
 
 
 def identify(model: Model, text: Column) -> Column:
     """Struct (lang, score, cosine, rejected) of a whole text.
 
     A text that is null or has no letter is `und` with score 0 and rejected; any other gets the language of the nearest
-    centroid by cosine, and is rejected if that cosine is under the language's radius and the text has ENOUGH n-grams to
-    tell. Score is the nearest language's
-    share of exp(25 * cosine). A model without languages (an empty table) calls every text `und`.
+    centroid by cosine, and is rejected if that cosine is under the language's radius for its length. A text with letters
+    but no n-gram ("q") is as near to every language, cosine 0: it gets the first by name and is judged like texts of one
+    n-gram. Score is the nearest language's share of exp(25 * cosine). A model without languages (an empty table) calls
+    every text `und` and rejects it.
     """
 
     @F.arrow_udf("struct<lang: string, score: double, cosine: double, rejected: boolean>")

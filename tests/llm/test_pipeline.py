@@ -170,3 +170,37 @@ def test_sharding_query(spark):
         values = {r[c] for r in line}
         met = [len({d[r["doc_id"]][c] for r in x}) for x in shards.values()]
         assert sum(met) / len(met) <= most * len(values)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_quality_query_is_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = queries.op4_quality(spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == slow_stats(texts[r["doc_id"]])
+        assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["base_failed"] and r["kept"])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_language_query(spark, tmp_path):
+    from protospark.llm import langid
+
+    known = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = random.Random(3)
+    # nothing of held-out rows is learned: they alone have language "zz"
+    extra = [(i, prose(40, rng, "wxyz"), "zz") for i in range(100_000, 100_400) if zlib.crc32(str(i).encode()) % 4 == 2] + [(200_001, None, "en"), (200_002, "12 !", "en"), (None, known.first()["text"], None)]
+    frame = known.select("doc_id", "text", "lang").unionAll(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    frame.select("*", F.lit("s").alias("source"), F.lit(0).alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op10_langid(spark, str(tmp_path)).collect()
+    langs, right = {r["doc_id"]: r["lang"] for r in frame.collect()}, []
+    text = {r["doc_id"]: r["text"] for r in frame.collect()}
+    assert len(rows) == len(langs)
+    for r in rows:
+        assert r["held_out"] is (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 if r["doc_id"] is not None else False)
+        assert (r["lang_pred"] == "und") == (not langid.has_letter(text[r["doc_id"]])) and 0 <= r["score"] <= 1 and r["lang_pred"] != "zz"
+        if r["held_out"] and langs[r["doc_id"]] not in (None, "zz") and langid.has_letter(text[r["doc_id"]]):
+            right.append(r["lang_pred"] == langs[r["doc_id"]])
+        if langs[r["doc_id"]] == "zz":
+            assert r["rejected"]
+    assert sum(right) >= 0.97 * len(right) > 20
