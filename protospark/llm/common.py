@@ -13,31 +13,59 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Buckets of a sieve.
+SIEVE = 1 << 24
+
+
+#: Temporary folders of local sessions that name none, by application; tables that `cut` has made, by application.
+_folders: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where a local session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="protospark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _folders:
+            _folders[app] = "file://" + tempfile.mkdtemp(prefix="protospark-")
+        folder = _folders[app]
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path for a table of this session in the shared folder; `release` deletes it."""
+    path = f"{shared_dir(spark)}/protospark/{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that later work neither repeats it nor depends on executors that may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/protospark/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by cut that nothing reads any more."""
-    jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-    path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.cut_path)
+    _tables[df.sparkSession.sparkContext.applicationId].remove(df.cut_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this session's operators have left; results made from them must have been written."""
+    for path in _tables.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -79,6 +107,23 @@ def ranked(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     )
 
 
+def sieve(ids: DataFrame) -> DataFrame:
+    """A coarse set of the only column's values: rows (word, bits) of a bitmap of SIEVE buckets that values hash to.
+
+    It has SIEVE / 64 rows at most, however many values there are, so it may be broadcast.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(SIEVE))
+    bit = F.expr("shiftleft(1L, cast(bucket % 64 as int))")
+    return cut(ids.select(bucket.alias("bucket")).groupBy(F.expr("bucket div 64").alias("word")).agg(F.bit_or(bit).alias("bits")))
+
+
+def sift(df: DataFrame, column: str, through: DataFrame, name: str = "_may") -> DataFrame:
+    """Add whether a row's value may be in the sieve: false is sure, true has to be checked. The rows aren't moved."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(SIEVE))
+    x = df.withColumn("_bucket", bucket).join(F.broadcast(through), F.expr("_bucket div 64 = word"), "left")
+    return x.withColumn(name, F.expr("coalesce(shiftright(bits, cast(_bucket % 64 as int)) & 1, 0) = 1")).drop("_bucket", "word", "bits")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: rows (node, component), component the smallest node reachable.
 
@@ -89,7 +134,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     now = cut(now)
     if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        out.cut_path = now.cut_path
+        return out
     before = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -101,5 +148,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         discard(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 31) - 1)), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.cut_path = now.cut_path
+            return out
         before = state

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embeddings, langid, licenses, mixing, packing, quality, sharding, simhash, tokenbin
-from .common import cut, shared_dir, spread, word_count
+from .common import cut, new_path, spread, word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +81,7 @@ def tokenizer_path() -> str:
 
 
 def op3_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/protospark/{uuid.uuid4().hex}"
+    out = new_path(spark)
     tokenbin.write(table(spark, sf_dir, "documents"), out, tokenizer_path())
     return tokenbin.checksums(spark, out).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 

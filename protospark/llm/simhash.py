@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import components, cut, partitions, spread
 
 #: Shingles hashed at a time, so that memory doesn't follow the length of a text.
@@ -184,3 +185,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     root = member.groupBy("root").agg(F.min("rep").alias("component"))
     named = member.join(root, "root").select(F.col("node").alias("fp"), "component")
     return fp.join(named, "fp").select("key", "fp", "component")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stand for their group at a similarity of 0.8 or more of five-word shingle sets.
+
+    At that similarity two fingerprints differ in about 10 of 64 bits. Signatures with one wild bit would then need six
+    segments, whose keys of 9 bits bring every text together with one in 512 others; and any smaller distance loses
+    pairs. So sets this far apart are found through prefixes of the sets themselves, which loses none (`jaccard`).
+    """
+    return jaccard.one_of_each(docs, key, text)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from protospark.llm import jaccard, packing, queries
-from test_operators import DOCS, packing_holds, prose, slow_print, slow_stats, union
+from test_operators import DOCS, packing_holds, prose, slow_hits, slow_print, slow_stats, union
 
 DATA = "/root/testdata/sf0.001"
 
@@ -204,3 +204,14 @@ def test_language_query(spark, tmp_path):
         if langs[r["doc_id"]] == "zz":
             assert r["rejected"]
     assert sum(right) >= 0.97 * len(right) > 20
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_license_query_is_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in queries.op8_licenses(spark, DATA).collect()}
+    assert set(rows) == set(texts) and sum(r["n_found"] for r in rows.values()) > 0
+    for k, r in rows.items():
+        want, got = slow_hits(texts[k].encode()), set(filter(None, r["licenses"].split(";")))
+        assert got <= set(want) and bool(got) == bool(want) and r["n_found"] == len(r["spans"]) >= len(got)
+        assert all(x["end"] <= y["start"] for x, y in zip(r["spans"], r["spans"][1:]))
