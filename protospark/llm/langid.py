@@ -92,25 +92,30 @@ class Model:
         return langs, np.clip(score, 0, 1), cosine, rejected
 
 
-def fit(sample: list[tuple[str, list[np.ndarray]]], clusters: int = 4, slack: float = 0.75, rounds: int = 12, low: float = 1) -> Model:
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def fit(sample: list[tuple[str, list[Sparse]]], clusters: int = 4, slack: float = 0.75, rounds: int = 12, low: float = 1) -> Model:
     """Spherical k-means within each language, and its rejection radii.
 
-    sample: rows of (language, counts of a whole text and of stretches of it). The centroids come from whole texts. A
+    sample: rows of (language, sparse counts of a whole text and of stretches of it). The centroids come from whole texts. A
     radius is `slack` times the `low` percentile of the cosines that the sample's texts and stretches of that length have,
     or what a neighbouring length has more rows to say: lengths with few rows are put together with longer ones. So one
     rule holds at all lengths: what lies farther out than the language's own texts of its length do is rejected. Rows
     without any n-gram teach nothing. A centroid that less than `low` percent of a language's rows are nearest to goes:
     a few rows of another language under this label would make that language known.
     """
-    sample = [(lang, c) for lang, c in sample if c[0].any()]
+    sample = [(lang, c) for lang, c in sample if len(c[0][0])]
     langs = sorted({lang for lang, _ in sample})
     none = np.zeros((len(langs), LENGTHS + 1))
     if not langs:
         return Model([], np.zeros(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), none)
-    counts = np.stack([c[0] for _, c in sample])
+    counts = np.zeros((len(sample), 1 << BITS), np.float32)
+    for row, (_, c) in zip(counts, sample):
+        row[c[0][0]] = c[0][1]
     idf = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model(langs, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), none)
-    v, lang = model.vectors(counts), np.array([langs.index(x) for x, _ in sample])
+    v, lang = model.vectors(counts).astype(np.float32), np.array([langs.index(x) for x, _ in sample])
     centroids, owner = [], []
     for k in range(len(langs)):
         own = v[lang == k]
@@ -125,11 +130,11 @@ def fit(sample: list[tuple[str, list[np.ndarray]]], clusters: int = 4, slack: fl
         centroids.append(c)
         owner += [k] * len(c)
         near, size = [], []
-        for row in (r for (x, r) in sample if x == langs[k]):  # a row at a time: its stretches are few
-            some = np.stack([y for y in row if y.any()])
-            near.append((model.vectors(some) @ c.T).max(axis=1))
-            size.append(sizes(some))
-        near, size = np.concatenate(near), np.concatenate(size)
+        for at, n in (stretch for x, row in sample if x == langs[k] for stretch in row if len(stretch[0])):
+            w = np.log1p(n) * idf[at]
+            near.append(float((c[:, at] @ w).max() / np.linalg.norm(w)))
+            size.append(min(int(np.log2(n.sum())), LENGTHS))
+        near, size = np.array(near), np.array(size)
         for b in range(LENGTHS + 1):
             at = size == b
             wide = b
@@ -170,17 +175,12 @@ def train(docs: DataFrame, per_lang: int = 600, total: int = 6000, key: str = "d
 
     sample = []
     if chosen:
-        once = rows.where(F.coalesce(*chosen)).dropDuplicates(["drawn", "lang"])
-        for r in once.select("drawn", "lang", sparse("text").alias("c")).collect():
-            sample.append((r["lang"], r["drawn"], r["c"]))
+        found = rows.where(F.coalesce(*chosen)).dropDuplicates(["drawn", "lang"]).select("lang", "drawn", sparse("text").alias("c")).toArrow()
+        for k, d, c in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2)):
+            every = zip(c.values.field(0), c.values.field(1))
+            sample.append((k, d, [(at.values.to_numpy(), n.values.to_numpy()) for at, n in every]))
     sample.sort(key=lambda x: x[:2])
-    return fit([(k, [_dense(c) for c in cs]) for k, _, cs in sample])
-
-
-def _dense(c) -> np.ndarray:
-    out = np.zeros(1 << BITS, np.float32)
-    out[c["at"]] = c["n"]
-    return out
+    return fit([(k, cs) for k, _, cs in sample])
 
 
 def identify(model: Model, text: Column) -> Column:
