@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bases of a bin: the unit of a sort, and of the overlap join.
-BIN = 1 << 14
+#: Bases of a bin: the unit of a sort, and that of the overlap join, where a guide meets all features of its bin.
+BIN, NARROW = 1 << 14, 1 << 10
 
 
 def as_of(points: DataFrame, events: DataFrame, forward: bool, width: int = BIN) -> DataFrame:
@@ -46,7 +46,8 @@ def nearest(guides: DataFrame, features: DataFrame, width: int = BIN) -> DataFra
     f = features.select("chrom", "fs", "fe", "feature", value.alias("value"))
     after = as_of(guides.select("chrom", F.col("ge").alias("pos"), "id"), f.select("chrom", F.col("fs").alias("pos"), "value"), True, width)
     before = as_of(guides.select("chrom", F.col("gs").alias("pos"), "id"), f.select("chrom", F.col("fe").alias("pos"), "value"), False, width)
-    bins = lambda a, b: F.explode(F.sequence(F.expr(f"cast(floor({a} / {width}) as long)"), F.expr(f"cast(floor(({b} - 1) / {width}) as long)")))
+    narrow = min(width, NARROW)
+    bins = lambda a, b: F.explode(F.sequence(F.expr(f"cast(floor({a} / {narrow}) as long)"), F.expr(f"cast(floor(({b} - 1) / {narrow}) as long)")))
     g = guides.where("ge > gs").select("chrom", "gs", "ge", "id", bins("gs", "ge").alias("bin"))
     h = f.where("fe > fs").select(F.col("chrom").alias("c"), "fs", "fe", "value", bins("fs", "fe").alias("b"))
     over = g.join(h, (F.col("chrom") == F.col("c")) & (F.col("bin") == F.col("b"))).where("fs < ge and fe > gs").groupBy("id").agg(F.min("value").alias("over"))

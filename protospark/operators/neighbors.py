@@ -2,34 +2,118 @@
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from ..functions.dna import LOW_BITS, hamming_packed, packed
+from ..functions.dna import LOW_BITS, packed
 
-#: Sequences in a tile, and queries compared at a time.
+#: Sequences in a tile of Levenshtein distances, and queries compared at a time.
 TILE, BLOCK = 4096, 128
+#: Queries and sequences that meet in a search by Hamming distance, and sequences that are too few for an index.
+ASKING, POOL, SMALL = 1 << 14, 1 << 19, 1 << 13
 
 
 def _codes(seqs: list[str]) -> np.ndarray:
     return np.frombuffer("".join(seqs).encode(), np.uint8).reshape(len(seqs), -1)
 
 
-def hamming_block(queries: list[str], others: list[str]) -> np.ndarray:
-    """Distances of sequences of one length, through two bits a base."""
-    table = np.zeros(256, np.uint64)
-    table[[65, 67, 71, 84]] = range(4)
+def letters(codes: np.ndarray, length: int) -> pa.Array:
+    """Sequences of packed codes."""
+    shifts = np.arange(2 * length - 2, -1, -2, dtype=np.uint64)
+    text = np.frombuffer(b"ACGT", np.uint8)[(codes[:, None] >> shifts & np.uint64(3)).astype(np.uint8)]
+    return pa.array(np.ascontiguousarray(text).view(f"S{length}").ravel().astype(str) if len(codes) else [], pa.string())
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bases that differ between packed codes."""
+    d = x ^ y
+    return np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(LOW_BITS))
+
+
+def mismatches(length: int, t: int) -> np.ndarray:
+    """What differs between a packed word and all words that differ from it in exactly t bases."""
+    out = [sum(v << 2 * at for v, at in zip(values, places)) for places in combinations(range(length), t) for values in product((1, 2, 3), repeat=t)]
+    return np.array(out, np.int64)
+
+
+class Pool:
+    """Packed codes in ascending order, with an index by each of three segments.
+
+    Two sequences at most 3 * t + 2 apart differ in t bases at most in one segment. So a search takes the words of each
+    segment that are t = 0, 1, 2 bases off, in turn; after each step all that lie within 3 * t + 2 are known, and queries
+    that have enough there are done. Those that need more than that compare with all. A pool of less than SMALL codes is
+    compared as a whole at once.
+    """
+
+    def __init__(self, codes: np.ndarray, length: int) -> None:
+        self.codes, self.length, self.parts = np.sort(codes), length, []
+        if len(codes) < SMALL or length < 6:
+            return
+        bounds = [length * i // 3 for i in range(4)]
+        for a, b in zip(bounds, bounds[1:]):
+            shift, size = np.uint64(2 * (length - b)), 4 ** (b - a)
+            key = (self.codes >> shift & np.uint64(size - 1)).astype(np.int64)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            starts = np.append(0, np.cumsum(np.bincount(key, minlength=size)))
+            self.parts.append((shift, size, b - a, order, self.codes[order], starts))
+
+    def _step(self, q: np.ndarray, t: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place in the pool, distance) of codes within reach that a segment t bases off leads to."""
+        found = []
+        for shift, size, width, order, codes, starts in self.parts:
+            key = (q >> shift & np.uint64(size - 1)).astype(np.int64)[:, None] ^ mismatches(width, t)
+            first = starts[key].ravel()
+            n = starts[key + 1].ravel() - first
+            upto = np.cumsum(n)
+            at = np.repeat(first - upto + n, n) + np.arange(upto[-1])
+            who = np.repeat(np.arange(len(q)), n.reshape(len(q), -1).sum(axis=1))
+            d = distances(codes[at], q[who])
+            near = np.flatnonzero(d <= reach)
+            found.append((who[near], order[at[near]], d[near]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
-    def pack(seqs: list[str]) -> np.ndarray:
-        out = np.zeros(len(seqs), np.uint64)
-        for column in _codes(seqs).T:
-            out = out << np.uint64(2) | table[column]
-        return out
+    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest of each query, by distance, then code: (query, place in the pool, distance), in that order."""
+        k, out, left = min(k, len(self.codes)), [], np.arange(len(q))
+        if not k:
+            return (np.zeros(0, np.int64),) * 3
+        held = (np.zeros(0, np.int64),) * 3
+        for t in range(3 if self.parts else 0):
+            more = self._step(q[left], t, 8)
+            who, place, d = (np.concatenate(x) for x in zip(held, (left[more[0]], more[1], more[2])))
+            order = np.lexsort((place, d, who))
+            who, place, d = who[order], place[order], d[order]
+            fresh = np.append(True, (who[1:] != who[:-1]) | (place[1:] != place[:-1])) if len(who) else np.zeros(0, bool)
+            who, place, d = who[fresh], place[fresh], d[fresh]
+            count = np.bincount(who, minlength=len(q))
+            sure = np.bincount(who[d <= 3 * t + 2], minlength=len(q)) >= k
+            rank = np.arange(len(who)) - (np.cumsum(count) - count)[who]
+            take = sure[who] & (rank < k)
+            out.append((who[take], place[take], d[take]))
+            held = tuple(x[~sure[who]] for x in (who, place, d))
+            left = left[~sure[left]]
+            if not len(left):
+                break
+        for at in range(0, len(left), 64):
+            d = distances(q[left[at : at + 64], None], self.codes).astype(np.int64)
+            key = d * len(self.codes) + np.arange(len(self.codes))
+            best = np.sort(np.partition(key, k - 1, axis=1)[:, :k], axis=1).ravel()
+            out.append((np.repeat(left[at : at + 64], k), best % len(self.codes), best // len(self.codes)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
-    x = pack(queries)[:, None] ^ pack(others)
-    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(LOW_BITS))
+    def within(self, q: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All codes at most `reach` off each query: (query, place in the pool, distance)."""
+        if not self.parts or reach > 8:
+            d = distances(q[:, None], self.codes)
+            who, place = np.nonzero(d <= reach)
+            return who, place, d[who, place]
+        found = tuple(np.concatenate(x) for x in zip(*(self._step(q, t, reach) for t in range(reach // 3 + 1))))
+        both = np.unique(np.stack([found[0] * len(self.codes) + found[1], found[2].astype(np.int64)]), axis=1)
+        return both[0] // len(self.codes), both[0] % len(self.codes), both[1]
 
 
 def levenshtein_block(queries: list[str], others: list[str]) -> np.ndarray:
@@ -57,38 +141,68 @@ def levenshtein_block(queries: list[str], others: list[str]) -> np.ndarray:
     return out
 
 
-def knn(queries: DataFrame, pool: DataFrame, k: int, dtype: str = "hamming", tile: int = TILE) -> DataFrame:
+def _meet(queries: DataFrame, pool: DataFrame, columns: list[str], asking: int, tile: int) -> GroupedData:
+    """Each tile of about `asking` queries with each of about `tile` of the pool, as groups of rows (asks, i, j, columns)."""
+    tiles, groups = max(1, -(-pool.count() // tile)), max(1, -(-queries.count() // asking))
+    h = F.xxhash64(columns[0])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select(*columns, F.lit(True).alias("asks"), F.pmod(h, F.lit(groups)).alias("i"), every(tiles).alias("j"))
+    right = pool.select(*columns, F.lit(False).alias("asks"), every(groups).alias("i"), F.pmod(h, F.lit(tiles)).alias("j"))
+    return left.unionByName(right).groupBy("i", "j")
+
+
+def _codes_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    asks, code = np.asarray(group.column("asks")), group.column("code").to_numpy().view(np.uint64)
+    return np.sort(code[asks]), code[~asks]
+
+
+def knn(queries: DataFrame, pool: DataFrame, k: int, dtype: str = "hamming", tile: int | None = None) -> DataFrame:
     """The k nearest of the pool's distinct sequences for each distinct query, itself included: (target, rank, neighbor, dist).
 
     Both are columns `target` of equal length. Rank counts from 0 by distance, then sequence. Any dtype but "hamming"
     means Levenshtein. Queries and pool are dealt by hash into tiles; each pair of tiles is a group of bounded size that
     keeps the k best of each query, and the best of those are put together per query, k for each tile of the pool: no
-    pair but these leaves a task. A query with a smaller pool than k has fewer rows.
+    pair but these leaves a task. Hamming tiles hold packed sequences (up to 31 bases) and search an index (`Pool`), so
+    a pair of tiles costs far less than its product; Levenshtein tiles compare all. A query with a smaller pool than k
+    has fewer rows.
     """
     q, p = queries.select("target").distinct(), pool.select("target").distinct()
-    tiles = max(1, -(-p.count() // tile))
-    groups = max(1, -(-q.count() // tile))
-    h = F.xxhash64("target")
-    left = q.select("target", F.lit(True).alias("asks"), F.pmod(h, F.lit(groups)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("j"))
-    right = p.select("target", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("i"), F.pmod(h, F.lit(tiles)).cast("int").alias("j"))
-    distances = hamming_block if dtype == "hamming" else levenshtein_block
-
-    def nearest(group: pa.Table) -> pa.Table:
-        asks = np.asarray(group.column("asks"))
-        every = np.asarray(group.column("target").to_pylist(), object)
-        ask, have = every[asks].tolist(), np.sort(every[~asks]).tolist()
-        out: list[list] = [[], [], []]
-        for at in range(0, len(ask) if have else 0, BLOCK):
-            d = distances(ask[at : at + BLOCK], have).astype(np.int64)
-            key = d * len(have) + np.arange(len(have))  # by distance, then sequence
-            best = np.sort(np.partition(key, min(k, len(have)) - 1, axis=1)[:, :k], axis=1)
-            for t, row in zip(ask[at : at + BLOCK], best.tolist()):
-                out[0] += [t] * len(row)
-                out[1] += [have[x % len(have)] for x in row]
-                out[2] += [x // len(have) for x in row]
-        return pa.table({"target": pa.array(out[0], pa.string()), "neighbor": pa.array(out[1], pa.string()), "dist": pa.array(out[2], pa.int32())})
-
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(nearest, "target string, neighbor string, dist int")
+    if dtype == "hamming":
+        length = (q.select(F.length("target").alias("n")).first() or [1])[0]
+        q, p = (x.select(packed(F.col("target")).alias("code")) for x in (q, p))
+
+        def nearest(group: pa.Table) -> pa.Table:
+            ask, have = _codes_of(group)
+            index = Pool(have, length)
+            parts = [[], [], []]
+            for at in range(0, len(ask), BLOCK):
+                some = ask[at : at + BLOCK]
+                who, place, d = index.nearest(some, k)
+                for part, x in zip(parts, (some[who], index.codes[place], d.astype(np.int32))):
+                    part.append(x)
+            a, b, d = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in parts)
+            return pa.table({"target": letters(a, length), "neighbor": letters(b, length), "dist": pa.array(d.astype(np.int32))})
+
+        groups = _meet(q, p, ["code"], tile or ASKING, tile or POOL)
+    else:
+
+        def nearest(group: pa.Table) -> pa.Table:
+            asks = np.asarray(group.column("asks"))
+            every = np.asarray(group.column("target").to_pylist(), object)
+            ask, have = every[asks].tolist(), np.sort(every[~asks]).tolist()
+            out: list[list] = [[], [], []]
+            for at in range(0, len(ask) if have else 0, BLOCK):
+                d = levenshtein_block(ask[at : at + BLOCK], have).astype(np.int64)
+                key = d * len(have) + np.arange(len(have))  # by distance, then sequence
+                best = np.sort(np.partition(key, min(k, len(have)) - 1, axis=1)[:, :k], axis=1)
+                for t, row in zip(ask[at : at + BLOCK], best.tolist()):
+                    out[0] += [t] * len(row)
+                    out[1] += [have[x % len(have)] for x in row]
+                    out[2] += [x // len(have) for x in row]
+            return pa.table({"target": pa.array(out[0], pa.string()), "neighbor": pa.array(out[1], pa.string()), "dist": pa.array(out[2], pa.int32())})
+
+        groups = _meet(q, p, ["target"], tile or TILE, tile or TILE)
+    found = groups.applyInArrow(nearest, "target string, neighbor string, dist int")
     best = F.slice(F.array_sort(F.collect_list(F.struct("dist", "neighbor"))), 1, k)
     ranked = found.groupBy("target").agg(best.alias("best")).select("target", F.posexplode("best").alias("rank", "b"))
     return ranked.select("target", "rank", "b.neighbor", "b.dist")
@@ -106,23 +220,27 @@ def keep_distant(lists: DataFrame, least: int) -> DataFrame:
     return lists.where(other.isNull() | (other >= least))
 
 
-def close_pairs(targets: DataFrame, length: int, within: int) -> DataFrame:
+def close_pairs(targets: DataFrame, length: int, within: int, tile: int | None = None) -> DataFrame:
     """All pairs of distinct guides that differ in 1 to `within` bases: (target, other, dist), both directions.
 
-    Two such guides agree on one of within + 1 segments, so the segments are equality-join keys; distances of the
-    candidates are checked, and a pair counts at the first segment it agrees on.
+    Tiles of packed guides meet as in `knn`, and an index gives each guide's close ones; a group's rows are the pairs
+    themselves, no candidates.
     """
-    bounds = [length * i // (within + 1) for i in range(within + 2)]
-    d = targets.select("target").distinct().withColumn("e", packed(F.col("target")))
-    parts = F.array(*[F.substring("target", a + 1, b - a) for a, b in zip(bounds, bounds[1:])])
-    x = d.select("target", "e", F.posexplode(parts).alias("segment", "part"))
-    y = x.select(F.col("target").alias("other"), F.col("e").alias("f"), F.col("segment"), F.col("part"))
-    pairs = x.join(y, ["segment", "part"]).where("target <> other").withColumn("dist", hamming_packed(F.col("e"), F.col("f")))
-    pairs = pairs.where(F.col("dist") <= within)
-    agree: Column = F.lit(within)
-    for i, (a, b) in reversed(list(enumerate(zip(bounds, bounds[1:])))):
-        agree = F.when(F.substring("target", a + 1, b - a) == F.substring("other", a + 1, b - a), i).otherwise(agree)
-    return pairs.where(F.col("segment") == agree).select("target", "other", "dist")
+    every = targets.select("target").distinct().select(packed(F.col("target")).alias("code"))
+
+    def close(group: pa.Table) -> pa.Table:
+        ask, have = _codes_of(group)
+        index, parts = Pool(have, length), [[], [], []]
+        for at in range(0, len(ask), BLOCK):
+            some = ask[at : at + BLOCK]
+            who, place, d = index.within(some, within)
+            other = d > 0
+            for part, x in zip(parts, (some[who[other]], index.codes[place[other]], d[other].astype(np.int32))):
+                part.append(x)
+        a, b, d = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in parts)
+        return pa.table({"target": letters(a, length), "other": letters(b, length), "dist": pa.array(d.astype(np.int32))})
+
+    return _meet(every, every, ["code"], tile or ASKING, tile or POOL).applyInArrow(close, "target string, other string, dist int")
 
 
 def min_distance_filter(targets: DataFrame, length: int, least: int) -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..operators import annotate, controls, intervals, neighbors, report, scan, scores, targets
 from ..sources.sinks import flat
-from .design import Options, attached, flagged_targets, guide_key, guide_table, nearby, strand_label
+from .design import Options, attached, flagged_targets, guide_key, guide_table, held, nearby, strand_label
 
 LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
 GENOMES = {"small": ("benchmark", "item_id"), "large": ("documents", "doc_id")}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Motifs of the queries as SQL patterns, written out: forward, and the reverse complement's.
+MOTIFS = {"NGG": ("[ACGT]GG", "CC[ACGT]"), "NNGRRT": ("[ACGT][ACGT]G[AG][AG]T", "A[CT][CT]C[ACGT][ACGT]")}
 RC = "translate(reverse({}), 'ACGTMRWSYKVHDBXN', 'TGCAKYWSRMBDHVXN')"
 
 
@@ -71,7 +73,7 @@ def seq_sql(which: str = "small") -> str:
 
 def scan_sql(pam: str = "NGG", orientation: str = "3prime", length: int = 20, which: str = "small") -> str:
     p, three = len(pam), orientation == "3prime"
-    ahead, back = dna.iupac_regex(pam), dna.iupac_regex(dna.reverse_complement_text(pam))
+    ahead, back = MOTIFS[pam]
     parts = []
     for strand, pattern in (("TRUE", ahead), ("FALSE", back)):
         after = (strand == "TRUE") != three
@@ -104,8 +106,9 @@ def knn_sql(measure: str, k: int = 5) -> str:
         row_number() OVER (PARTITION BY a.target ORDER BY {measure}(a.target, b.target), b.target) - 1 AS rank FROM pool a, pool b QUALIFY rank < {k})"""
 
 
-def pairs_of(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return scan.find_targets(genome(spark, sf_dir), scan.Pam("NGG"), 20)
+def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of the small genome, kept since a search counts them first."""
+    return held(scan.find_targets(genome(spark, sf_dir), scan.Pam("NGG"), 20))
 
 
 @query(f"WITH {scan_sql(which='large')} SELECT * FROM found")
@@ -209,19 +212,19 @@ def near(spark, sf_dir, direction: str, which: str) -> DataFrame:
     return found.where(F.col("direction") == direction).select("id.seqid", "id.start", "id.strand", "feature", "fs", "fe", "distance")
 
 
-@query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, feature, fs, fe, distance FROM near WHERE direction = 'downstream'")
+@query(f"WITH {scan_sql(which='large')}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, feature, fs, fe, distance FROM near WHERE direction = 'downstream'")
 def nearest_downstream(spark, sf_dir):
-    return near(spark, sf_dir, "downstream", "small")
+    return near(spark, sf_dir, "downstream", "large")
 
 
-@query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, feature, fs, fe, distance FROM near WHERE direction = 'upstream'")
+@query(f"WITH {scan_sql(which='large')}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, feature, fs, fe, distance FROM near WHERE direction = 'upstream'")
 def nearest_upstream(spark, sf_dir):
-    return near(spark, sf_dir, "upstream", "small")
+    return near(spark, sf_dir, "upstream", "large")
 
 
-@query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, target, direction, feature, fs, fe, distance FROM near")
+@query(f"WITH {scan_sql(which='large')}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, target, direction, feature, fs, fe, distance FROM near")
 def nearby_features(spark, sf_dir):
-    return nearby(flagged_targets(genome(spark, sf_dir), options()), features(spark, sf_dir).drop("fstrand")).select("id.seqid", "id.start", "id.strand", "target", "direction", "feature", "fs", "fe", "distance")
+    return nearby(flagged_targets(genome(spark, sf_dir, "large"), options()), features(spark, sf_dir, "large").drop("fstrand")).select("id.seqid", "id.start", "id.strand", "target", "direction", "feature", "fs", "fe", "distance")
 
 
 @query(f"WITH {scan_sql(which='large')}, {SEEDED}, {NEAREST} SELECT seqid, start, strand, direction, feature, distance FROM near WHERE {POSITION}")
@@ -243,6 +246,12 @@ def guide_table_query(spark, sf_dir):
     return out.withColumn("GC", F.round("GC", 6))
 
 
+@query()
+def guide_table_genome(spark, sf_dir):
+    """The guide table of the large genome: a search among all its targets, which SQL would take the square of."""
+    return flat(guide_table(genome(spark, sf_dir, "large"), features(spark, sf_dir, "large"), None, options())).withColumn("GC", F.round("GC", 6))
+
+
 QUERIES["guide_table"], ORACLES["guide_table"] = QUERIES.pop("guide_table_query"), ORACLES.pop("guide_table_query")
 
 
@@ -326,7 +335,7 @@ def nt_counts(spark, sf_dir):
     return thirty(spark, sf_dir).select("s", *[c.alias(f"n_{b}") for b, c in zip("ATCG", scores.base_counts(F.col("s")))])
 
 
-@query(f"{THIRTY} SELECT s, " + ", ".join(f"len(list_filter(range(1, 30), lambda i: substr(s, i, 2) = '{p}')) AS n_{p}" for p in scores.PAIRS) + " FROM t")
+@query(f"{THIRTY} SELECT s, " + ", ".join(f"len(list_filter(range(1, 30), lambda i: substr(s, i, 2) = '{p}')) AS n_{p}" for p in "AA AT AC AG TA TT TC TG CA CT CC CG GA GT GC GG".split()) + " FROM t")
 def dinuc_counts(spark, sf_dir):
     return thirty(spark, sf_dir).select("s", *[c.alias(f"n_{p}") for p, c in zip(scores.PAIRS, scores.pair_counts(F.col("s")))])
 
@@ -348,11 +357,15 @@ def nggx(spark, sf_dir):
     return thirty(spark, sf_dir).select("s", (F.array_position(scores.nggx(F.col("s")), F.lit(1.0).cast("float")) - 1).alias("place"))
 
 
-def tm_sql() -> str:
-    stacks = " ".join(f"WHEN '{k}' THEN {{}}" for k in scores.STACKS)
-    h, s = (f"(SELECT sum(CASE substr(s, i, 2) {stacks.format(*[f'{v[k]}::DOUBLE' for v in scores.STACKS.values()])} END) FROM range(1, 30) AS g(i))" for k in (0, 1))
-    ends = "(CAST(substr(s, 1, 1) IN ('A', 'T') AS INT) + CAST(substr(s, 30, 1) IN ('A', 'T') AS INT))"
-    return f"round(1000 * (3.61::DOUBLE + {ends} * 3.72::DOUBLE + {h}) / (-1.5::DOUBLE + {ends} * 10.5::DOUBLE + {s} + 0.368::DOUBLE * 29 * ln(0.05::DOUBLE) + 1.987::DOUBLE * ln(12.5e-9::DOUBLE)) - 273.15::DOUBLE, 5)"
+#: Enthalpy and entropy of two stacked RNA bases, by the steps that have them, written out for the SQL.
+STEPS = [("AA TT", 6.82, 19.0), ("AT", 9.38, 26.7), ("TA", 7.69, 20.5), ("CA TG", 10.44, 26.9), ("GT AC", 11.40, 29.5), ("CT AG", 10.48, 27.1), ("GA TC", 12.44, 32.5), ("CG", 10.64, 26.7), ("GC", 14.88, 36.9), ("GG CC", 13.39, 32.7)]
+
+
+def tm_sql(s: str = "s", n: int = 30) -> str:
+    step = lambda k: " ".join(f"WHEN substr({s}, i, 2) IN ({', '.join(repr(w) for w in x[0].split())}) THEN -{x[k]}::DOUBLE" for x in STEPS)
+    h, e = (f"(SELECT sum(CASE {step(k)} END) FROM range(1, {n}) AS g(i))" for k in (1, 2))
+    ends = f"(CAST(substr({s}, 1, 1) IN ('A', 'T') AS INT) + CAST(substr({s}, {n}, 1) IN ('A', 'T') AS INT))"
+    return f"round(1000 * (3.61::DOUBLE + {ends} * 3.72::DOUBLE + {h}) / (-1.5::DOUBLE + {ends} * 10.5::DOUBLE + {e} + 0.368::DOUBLE * {n - 1} * ln(0.05::DOUBLE) + 1.987::DOUBLE * ln(12.5e-9::DOUBLE)) - 273.15::DOUBLE, 5)"
 
 
 @query(f"{THIRTY} SELECT s, {tm_sql()} AS tm FROM t")
@@ -360,19 +373,34 @@ def tm_features(spark, sf_dir):
     return thirty(spark, sf_dir).select("s", F.round(scores.melting(F.col("s")), 5).alias("tm"))
 
 
+PARTS = {"tm_1": (19, 24), "tm_2": (11, 19), "tm_3": (6, 11)}
+
+
+@query(f"{THIRTY} SELECT s, " + ", ".join(tm_sql(f"substr(s, {a + 1}, {b - a})", b - a) + f" AS {k}" for k, (a, b) in PARTS.items()) + " FROM t")
+def tm_segments(spark, sf_dir):
+    parts = [F.round(scores.melting(F.substring("s", a + 1, b - a)), 5).alias(k) for k, (a, b) in PARTS.items()]
+    return thirty(spark, sf_dir).select("s", *parts)
+
+
+@query(f"{THIRTY} SELECT s, list_reduce(list_transform(range(1, 30), lambda i: repeat('0', (instr('ATCG', substr(s, i, 1)) - 1) * 4 + instr('ATCG', substr(s, i + 1, 1)) - 1) || '1' || repeat('0', 16 - (instr('ATCG', substr(s, i, 1)) - 1) * 4 - instr('ATCG', substr(s, i + 1, 1)))), lambda a, b: a || b) AS hot FROM t")
+def onehot_order2(spark, sf_dir):
+    hot = scores.one_hot(F.col("s"), scores.PAIRS, 29)
+    return thirty(spark, sf_dir).select("s", F.array_join(F.transform(hot, lambda v: v.cast("int").cast("string")), "").alias("hot"))
+
+
 @query()
 def on_target_features(spark, sf_dir):
     few = thirty(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # small rows, costly features
     return few.select("s", scores.on_target_features(F.col("s")).alias("features"))
 
 
-@query(f"WITH {scan_sql()}, {SEEDED}, {NEAREST} SELECT seqid AS locus_tag, exact_pam AS \"PAM\", count(*) AS guides FROM near WHERE {POSITION} GROUP BY ALL")
+@query(f"WITH {scan_sql(which='large')}, {SEEDED}, {NEAREST} SELECT seqid AS locus_tag, exact_pam AS \"PAM\", count(*) AS guides FROM near WHERE {POSITION} GROUP BY ALL")
 def locus_pam_counts(spark, sf_dir):
-    x = attached(flagged_targets(genome(spark, sf_dir), options()), features(spark, sf_dir), options())
+    x = attached(flagged_targets(genome(spark, sf_dir, "large"), options()), features(spark, sf_dir, "large"), options())
     return report.locus_pam_counts(x.select(F.col("seqid").alias("locus_tag"), F.col("exact_pam").alias("PAM")))
 
 
-DENSITY_SQL = f"""WITH {scan_sql()}, p AS (SELECT seqid AS chrom, start AS pos, length(seq) AS extent FROM found JOIN sequences USING (seqid)),
+DENSITY_SQL = f"""WITH {scan_sql(which='large')}, p AS (SELECT seqid AS chrom, start AS pos, length(seq) AS extent FROM found JOIN sequences USING (seqid)),
 g AS (SELECT chrom, max(extent) AS extent, count(*) AS n, greatest(1.0::DOUBLE, round(max(extent) / 200.0::DOUBLE)) AS h, greatest((max(extent) - 1)::DOUBLE / 19, 1e-9::DOUBLE) AS step FROM p GROUP BY chrom),
 k AS (SELECT g.*, 1 + i * step AS x FROM g, range(20) AS r(i))
 SELECT p.chrom, round(x, 6) AS x, round(sum(exp(-((x - pos) / h * ((x - pos) / h)) / 2) / (h * sqrt(2 * pi()))) / any_value(n), 6) AS density FROM k JOIN p ON p.chrom = k.chrom AND abs(x - pos) <= 5 * h GROUP BY p.chrom, x"""
@@ -380,7 +408,7 @@ SELECT p.chrom, round(x, 6) AS x, round(sum(exp(-((x - pos) / h * ((x - pos) / h
 
 @query(DENSITY_SQL)
 def position_density(spark, sf_dir):
-    seqs = genome(spark, sf_dir)
+    seqs = genome(spark, sf_dir, "large")
     places = scan.find_targets(seqs, scan.Pam("NGG"), 20).join(seqs.select("record_idx", F.length("seq").alias("extent")), "record_idx")
     out = report.density(places.select(F.col("seqid").alias("chrom"), F.col("start").alias("pos"), "extent"), 20)
     return out.select("chrom", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))

@@ -8,6 +8,7 @@ import random
 import struct
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,25 @@ def test_knn_over_tiles(spark, dtype):
     assert neighbors.recall(found, found).first()["recall"] == 1.0
 
 
+@pytest.mark.parametrize("length", [6, 10, 20, 27])
+def test_pool_index_is_brute_force(monkeypatch, length):
+    monkeypatch.setattr(neighbors, "SMALL", 10)
+    rng = np.random.default_rng(length)
+    some = rng.integers(0, 4**length, 1500, dtype=np.uint64)
+    near = some[:300] ^ np.array([sum(int(v) << 2 * int(a) for a, v in zip(rng.permutation(length)[:n], rng.integers(1, 4, n))) for n in rng.integers(1, 6, 300)], np.uint64)
+    pool = neighbors.Pool(np.unique(np.concatenate([some, near])), length)
+    q = np.concatenate([some[:200], rng.integers(0, 4**length, 50, dtype=np.uint64)])
+    d = neighbors.distances(q[:, None], pool.codes).astype(int)
+    for k in (1, 2, 5, 4000):
+        who, place, dist = pool.nearest(q, k)
+        got = sorted(zip(who.tolist(), dist.tolist(), place.tolist()))
+        assert got == [(i, int(d[i, j]), int(j)) for i in range(len(q)) for j in np.lexsort((np.arange(d.shape[1]), d[i]))[:k]]
+    for reach in (0, 2, 3, 5, 8, 9):
+        assert sorted(zip(*map(np.ndarray.tolist, pool.within(q, reach)))) == [(i, j, int(d[i, j])) for i, j in zip(*np.nonzero(d <= reach))]
+    assert not len(neighbors.Pool(np.zeros(0, np.uint64), length).nearest(q, 3)[0])
+    assert neighbors.letters(q[:3], length).to_pylist() == ["".join("ACGT"[int(c) >> 2 * (length - 1 - i) & 3] for i in range(length)) for c in q[:3]]
+
+
 def test_close_pairs_and_min_distance(spark):
     pool = list({bases(10) for _ in range(400)} | {"ACGTACGTAC", "ACGTACGTAA", "CCGTACGTAA"})
     t = spark.createDataFrame([(p,) for p in pool], "target string")
