@@ -161,8 +161,11 @@ def test_embeddings_bounds_and_empty(spark):
     base = rng.normal(size=64)
     a = embeddings.normalised(np.array([base + rng.normal(size=64) * s for s in np.linspace(0.2, 0.35, 900)]))
     exact = a @ a.T >= 0.93
-    for at, links in embeddings.linked(a, a, 0.93):
-        assert (links == exact[at : at + len(links)]).all()
+    tile = embeddings.Tile(*embeddings.quantise(a), np.ones(900, np.int64))
+    assert tile.codes.dtype == np.int8
+    for at, links, doubt in embeddings.products(tile, tile, 0.93):
+        true = exact[at : at + len(links)]
+        assert true[links].all() and not true[~links & ~doubt].any() and 0 < doubt.mean() < 0.5
     assert 0.1 < exact.mean() < 0.9
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>, label string")
     assert embeddings.near_duplicates(empty).isEmpty()
