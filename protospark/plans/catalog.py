@@ -268,6 +268,31 @@ def attribute_filter(spark, sf_dir):
     return flat(guide_table(genome(spark, sf_dir), f, tags, o)).withColumn("GC", F.round("GC", 6))
 
 
+@query(f"SELECT * FROM ({TABLE_SQL}) WHERE \"Accession\" = '2'")
+def accession_table(spark, sf_dir):
+    table = guide_table(genome(spark, sf_dir), features(spark, sf_dir), None, options())
+    return flat(report.accession(table, "2")).withColumn("GC", F.round("GC", 6))
+
+
+@query(f"""WITH {scan_sql()}, {SEEDED}, f AS (SELECT count(*) AS targets, count(DISTINCT target) AS distinct_guides, count(*) FILTER (WHERE seed_rank > 1) AS seed_duplicates,
+    count(*) FILTER (WHERE regexp_matches(target, '[ACGT]G[AG]T|A[CT]C[ACGT]')) AS with_site FROM seeded)
+    SELECT f.*, with_site AS removed, t.* FROM f, (SELECT count(*) AS rows, count(*) FILTER (WHERE "Feature distance" = 0) AS zero_distance FROM ({TABLE_SQL})) t""")
+def design_stats(spark, sf_dir):
+    found = flagged_targets(genome(spark, sf_dir), options(enzymes=("NGRT",)))
+    return report.design_stats(found, held(guide_table(genome(spark, sf_dir), features(spark, sf_dir), None, options())), True)
+
+
+@query(f"""WITH t AS ({TABLE_SQL}), p AS (SELECT 'guide' AS kind, "Accession" AS chrom, "Guide start" AS pos FROM t UNION ALL SELECT 'feature', "Accession", "Feature start" FROM t),
+    e AS (SELECT "Accession" AS chrom, max("Feature end") AS extent FROM t GROUP BY 1),
+    g AS (SELECT kind, chrom, extent, count(*) AS n, greatest(1.0::DOUBLE, round(extent / 200.0::DOUBLE)) AS h, greatest((extent - 1)::DOUBLE / 19, 1e-9::DOUBLE) AS step FROM p JOIN e USING (chrom) GROUP BY kind, chrom, extent),
+    k AS (SELECT g.*, 1 + i * step AS x FROM g, range(20) AS r(i))
+    SELECT p.kind, p.chrom, round(x, 6) AS x, round(sum(exp(-((x - pos) / h * ((x - pos) / h)) / 2) / (h * sqrt(2 * pi()))) / any_value(n), 6) AS density
+    FROM k JOIN p ON p.kind = k.kind AND p.chrom = k.chrom AND abs(x - pos) <= 5 * h GROUP BY p.kind, p.chrom, x""")
+def table_densities(spark, sf_dir):
+    table = held(guide_table(genome(spark, sf_dir), features(spark, sf_dir), None, options()))
+    return report.table_densities(table, 20).select("kind", "chrom", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
 def lines(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     """Annotation lines made of orders: an attribute string with a blank and a malformed part."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -296,6 +321,11 @@ def qualifier_pivot(spark, sf_dir):
     return annotate.qualifier_table(qualifiers(spark, sf_dir))
 
 
+@query('SELECT CAST(p_partkey AS VARCHAR) AS "Feature id", p_brand AS brand, p_type AS type FROM part')
+def qualifier_minimum(spark, sf_dir):
+    return annotate.qualifier_table(qualifiers(spark, sf_dir), minimum=0.7)
+
+
 @query("SELECT key, count(*) AS features, round(count(*)::DOUBLE / (SELECT count(*) FROM part), 6) AS proportion FROM (SELECT unnest(['brand', 'type', 'size']) AS key, p_size FROM part) WHERE key <> 'size' OR p_size % 2 = 0 GROUP BY key")
 def qualifier_proportion(spark, sf_dir):
     return annotate.key_proportions(qualifiers(spark, sf_dir)).withColumn("proportion", F.round("proportion", 6))
