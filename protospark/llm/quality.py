@@ -186,14 +186,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, key: str = "doc_
     """Fit on a sample of about `rows` labelled documents, drawn by a hash of their key.
 
     Only the sample's keys are broadcast (their number is the parameter) and only its statistics reach the driver.
-    Labels that are null teach nothing; a key with several counts once, as the least. Without labels, or with labels
+    Labels that are null teach nothing; a key with several counts once, as the least, and a key with several documents
+    by one of them. Without labels, or with labels
     of one kind, the model accepts everything that the base rules accept.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
     n = max(1, known.count())
     known = known.where(F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / n)))
     sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known), "_key")
-    found = sample.select("_key", "_label", measured(F.col("_text")).alias("s")).collect()
+    # a key that many rows have brings one of them
+    once = sample.groupBy("_key", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("one"))
+    found = once.select("_key", "_label", measured(F.col("one._text")).alias("s")).collect()
     found.sort(key=lambda r: (r["_key"], tuple(r["s"])))
     stats = np.array([tuple(r["s"]) for r in found], np.int64).reshape(-1, len(STATS))
     return boost(features(stats), np.array([float(r["_label"] > 0) for r in found]), list(FEATURES.values()))
