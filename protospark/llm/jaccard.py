@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -15,8 +15,11 @@ from .common import WORD, components, cut, discard, partitions, sieve, sift, spr
 
 #: Similarity 4/5 in whole numbers: sets of a and b shingles that share i reach it if 9 * i >= 4 * (a + b).
 SHINGLE = 5
-#: Shared shingles that a prefix must prove; sets of up to 5/4 of that are indexed whole.
+#: Shared shingles that a prefix must prove, or a tenth of a larger set; sets of up to 5/4 of that are indexed whole.
 PROOF = 32
+#: Shared shingles that make two sets a candidate pair, where shingles are in FEW sets; one that more sets have is enough.
+COMMON = 8
+FEW = 8
 #: Sets of a tile; two tiles are compared at a time.
 TILE = 2048
 
@@ -39,6 +42,16 @@ def least(n):
     return (4 * n + 4) // 5
 
 
+def proof(n):
+    """Shingles that the indexed parts of a set of n and of any set of similarity 4/5 or more, n at most, prove in common."""
+    return np.minimum(least(n), np.maximum(PROOF, n // 10))
+
+
+def proved(n):
+    """Shingles that the indexed parts of a set of n and of any similar set share: such a set has least(n) shingles or more."""
+    return np.minimum(least(n), np.maximum(PROOF, least(n) // 10))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of batches sorted by the first one, whole runs of equal values at a time."""
     held: list[list[np.ndarray]] = []
@@ -61,9 +74,9 @@ def _starts(x: np.ndarray) -> np.ndarray:
 
 
 def index(texts: DataFrame) -> DataFrame:
-    """Rows (h, node, n): the least shingles, by hash, of each text's set of n; enough of them to prove PROOF in common.
+    """Rows (h, node, n): the least shingles, by hash, of each text's set of n; enough of them to prove proof(n) in common.
 
-    Two sets that share o >= least(n) of their shingles share at least min(least(n), PROOF) of those kept.
+    Two sets that share o >= least(n) of their shingles share at least the lesser of their proof(n) of those kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +85,7 @@ def index(texts: DataFrame) -> DataFrame:
                 part = b.slice(at, 500)
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 size = np.array([len(s) for s in sets], np.int64)
-                kept = size - least(size) + np.minimum(least(size), PROOF)
+                kept = size - least(size) + proof(size)
                 h = np.concatenate([s[:k] for s, k in zip(sets, kept)])
                 node = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(node, kept)), pa.array(np.repeat(size, kept))], ["h", "node", "n"])
@@ -81,7 +94,7 @@ def index(texts: DataFrame) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Rows (h, node, n) of index that can lead to a pair: of each set the rarest shingles, one of which any similar set has as well.
+    """Rows (h, node, n) of index that can lead to a pair: of each set the rarest shingles, COMMON of which any similar set has as well (all, if sets prove fewer).
 
     A shingle that only one set has leads nowhere, but takes up the rarest places; so a set of which more than a
     fifth is its own has no row left, and common passages aren't looked up.
@@ -98,23 +111,40 @@ def shared(rows: DataFrame) -> DataFrame:
     dealt = rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h", "node")
     often = dealt.mapInArrow(run, "h long, node long, n long, df long")
     sets = often.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
-    need = F.least(F.floor((4 * F.col("n") + 4) / 5).cast("int"), F.lit(PROOF))
-    kept = sets.withColumn("m", F.size("x") - need + 1).where("m > 0")
+    need = F.expr(f"cast(least((4 * n + 4) div 5, greatest({PROOF}, (4 * n + 4) div 5 div 10)) as int)")
+    kept = sets.where(F.size("x") >= need).withColumn("m", F.size("x") - need + F.least(need, F.lit(COMMON)))
     return kept.select(F.explode(F.slice("x", F.lit(1), F.col("m"))).alias("x"), "node", "n").select("x.h", "node", "n")
 
 
 def clusters(rows: DataFrame) -> DataFrame:
-    """Rows (node, component) of the sets that shared shingles connect: no similar pair lies across two of them."""
+    """Rows (node, component) of the sets that candidate pairs connect: no similar pair lies across two of them.
+
+    A pair is a candidate if the sizes allow the similarity and it shares COMMON rows (as many as its sets prove, if
+    fewer), or one shingle that more than FEW sets have. One shared shingle alone would connect all long texts of a
+    large table by chance. Pairs are made within FEW sets only; the sets of a longer run are tied to the least of
+    those they can reach by sizes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, node in _runs(batches):
-            starts = _starts(h)
-            first = np.repeat(node[starts], np.diff(np.append(starts, len(h))))
-            edges = np.unique(np.stack([node, first])[:, node != first], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
-
-    dealt = rows.select("h", "node").repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h", "node")
-    found = components(dealt.mapInArrow(run, "a long, b long"), "a", "b")
+        for h, n, node in _runs(batches):
+            df = np.diff(np.append(_starts(h), len(h)))
+            few = np.repeat(df <= FEW, df)
+            need, found = np.minimum(COMMON, proved(n)), []
+            for off in range(1, min(FEW, len(h))):
+                i = np.flatnonzero(few[off:] & (h[off:] == h[:-off]) & (4 * n[off:] <= 5 * n[:-off]))
+                found.append((node[i], node[i + off], np.minimum(need[i], need[i + off])))
+            h, n, node = h[~few], n[~few], node[~few]
+            if len(h):
+                starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (4 * n[1:] > 5 * n[:-1])))
+                first = np.repeat(node[starts], np.diff(np.append(starts, len(h))))
+                edges = np.unique(np.stack([node, first])[:, node != first], axis=1)
+                found.append((edges[0], edges[1], np.zeros(edges.shape[1], np.int64)))
+            for a, b, least_shared in found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(least_shared)], ["a", "b", "need"])
+
+    dealt = rows.select("h", "n", "node").repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h", "n", "node")
+    pairs = dealt.mapInArrow(run, "a long, b long, need long")
+    found = components(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need"), "a", "b")
     # the least node of a component has no row of its own
     return found.unionAll(found.select(F.col("component").alias("node"), "component").distinct())
 
@@ -144,14 +174,18 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def places(members: DataFrame) -> DataFrame:
-    """Rows (node, component, own, k): a cluster of sets is dealt out in k tiles of about TILE, and a set lies in tile `own`."""
-    sized = members.join(members.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").withColumn("k", F.ceil(F.col("size") / TILE).cast("int"))
-    return sized.select("node", "component", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("own"), "k")
+def places(members: DataFrame, alone: bool) -> DataFrame:
+    """Rows (node, component, own, k) of members (node, component, n): a cluster of sets is dealt out in k tiles of about
+    TILE sets, and a set lies in tile `own`. In tiles that stay alone, the least set lies in all: own is -1.
+    """
+    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
+    sized = members.join(whole.where("size > 1"), "component").withColumn("k", F.ceil(F.col("size") / TILE).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    return sized.select("node", "component", F.when(F.lit(alone) & (F.col("node") == F.col("first")), F.lit(-1)).otherwise(own).alias("own"), "k")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the texts' sets just as all similar pairs within a cluster do.
+def links(texts: DataFrame, alone: bool = False) -> DataFrame:
+    """Edges (a, b) that connect the texts' sets just as all similar pairs within a cluster do; `alone`: within a tile.
 
     texts: rows (node, component, own, k, text). Each set is made once and dealt to the meetings of its tile with every
     other tile of its cluster (or to its only tile); each meeting compares its sets in whole and returns a spanning
@@ -162,10 +196,12 @@ def links(texts: DataFrame) -> DataFrame:
         for b in batches:
             for node, component, own, k, text in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4)):
                 hashes = pa.array(shingles(text.as_py()).view(np.int64))
-                other = [own] if k == 1 else [o for o in range(k) if o != own]
+                other = list(range(k)) if own < 0 else [own] if alone or k == 1 else [o for o in range(k) if o != own]
                 for at in range(0, len(other), 16):
-                    low = [[component] * len(other[at : at + 16]), [min(own, o) for o in other[at : at + 16]], [max(own, o) for o in other[at : at + 16]], [node] * len(other[at : at + 16])]
-                    sets = pa.ListArray.from_arrays(pa.array([len(hashes) * i for i in range(len(low[0]) + 1)], pa.int32()), pa.concat_arrays([hashes] * len(low[0])))
+                    part = other[at : at + 16]
+                    ends = [(o, o) if alone else (min(own, o), max(own, o)) for o in part]
+                    low = [[component] * len(part), *map(list, zip(*ends)), [node] * len(part)]
+                    sets = pa.ListArray.from_arrays(pa.array([len(hashes) * i for i in range(len(part) + 1)], pa.int32()), pa.concat_arrays([hashes] * len(part)))
                     yield pa.RecordBatch.from_arrays([*map(pa.array, low), sets], ["component", "low", "high", "node", "hashes"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -183,41 +219,54 @@ def row_id(key: Column, text: Column) -> Column:
     return F.xxhash64(key.isNull(), key, text.isNull(), text)
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def representatives(docs: DataFrame, near: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Groups of near-duplicates: rows (row) of one row_id of each, that of the least key, nulls last, and rows (row) of all
     that have to be looked at when the others go: row_ids that are not among the first, or stand there more than once.
 
     Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked, and groups are what
-    links reach. All such pairs are found: none is estimated. Texts without a word are one group. Equal texts are one
-    node, so copies cost nothing; texts whose rare shingles connect them are compared in tiles, and no pair is a row.
-    Whole texts are dealt out only if a shingle of theirs led to another text, as far as a sieve can tell.
+    links reach. `near` takes rows (node, text) and returns rows (node, component), groups that are likely; their texts
+    are compared first. All similar pairs are found, whatever it returns: texts that their rarest shingles connect are
+    compared as well, unless the first comparison made one group of them. Texts without a word are one group. Equal
+    texts are one node, so copies cost nothing; texts are compared in tiles. Whole texts are dealt out only if
+    shingles of theirs led to another text, as far as a sieve can tell.
     """
     k, t = F.col(key), F.col(text)
     # texts without a word are copies of one another
     node = F.when(t.rlike(WORD), F.xxhash64(t)).otherwise(F.lit(0).cast("long"))
     rows = cut(docs.select(row_id(k, t).alias("row"), node.alias("node"), k.alias("key")))
     best = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("void"), "key", "row")).alias("best")))
-    lookup = cut(shared(index(spread(docs.select(node.alias("node"), F.encode(t, "UTF-8").alias("text"))))))
-    deals = places(clusters(lookup))
-    named = cut(deals.join(best, "node").select("node", "component", "own", "k", F.col("best.row").alias("row")))
-    some = sift(docs.select(row_id(k, t).alias("row"), F.encode(t, "UTF-8").alias("text")), "row", sieve(named.select("row"))).where("_may")
-    # rows that repeat key and text come once
-    again = some.join(named.hint("merge"), "row").dropDuplicates(["row"])
-    group = components(links(again), "a", "b")
+    texts = docs.select(node.alias("node"), t.alias("text"))
+    lookup = cut(shared(index(spread(texts.select("node", F.encode("text", "UTF-8").alias("text"))))))
+    sizes = cut(lookup.select("node", "n").distinct())
+
+    def compared(members: DataFrame, alone: bool = False) -> DataFrame:
+        named = cut(places(members.join(sizes, "node"), alone).join(best, "node").select("node", "component", "own", "k", F.col("best.row").alias("row")))
+        some = sift(docs.select(row_id(k, t).alias("row"), F.encode(t, "UTF-8").alias("text")), "row", sieve(named.select("row"))).where("_may")
+        # rows that repeat key and text come once
+        out = cut(links(some.join(named.hint("merge"), "row").dropDuplicates(["row"]), alone))
+        discard(named)
+        return out
+
+    likely = compared(near(texts), alone=True)
+    settled, members = components(likely, "a", "b"), cut(clusters(lookup))
+    named = members.join(settled.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    split = named.groupBy("component").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    rest = compared(members.join(split, "component", "left_semi"))
+    group = components(likely.unionAll(rest), "a", "b")
     root = best.join(group, "node", "left").select(F.coalesce("component", "node").alias("root"), "best")
     kept = cut(root.groupBy("root").agg(F.min("best").alias("best")).select("best.row"))
-    for done in (lookup, named, group, best):
+    for done in (lookup, sizes, likely, settled, members, rest, group, best):
         discard(done)
     counted = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(kept.withColumnRenamed("row", "_kept"), F.col("row") == F.col("_kept"), "left")
     return kept, counted.where("_kept is null or n > 1").select("row")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, near: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stand for their group of near-duplicates (`representatives`).
 
     Rows that a sieve tells to stay do so where they are; only the others are dealt out and looked up.
     """
-    kept, doubtful = representatives(docs, key, text)
+    kept, doubtful = representatives(docs, near, key, text)
     marked = sift(docs.withColumn("_row", row_id(F.col(key), F.col(text))), "_row", sieve(doubtful))
     checked = marked.where("_may").join(kept.withColumnRenamed("row", "_keep").hint("merge"), F.col("_row") == F.col("_keep"), "left_semi").dropDuplicates(["_row"])
     return marked.where("not _may").unionByName(checked).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -190,8 +190,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stand for their group at a similarity of 0.8 or more of five-word shingle sets.
 
-    At that similarity two fingerprints differ in about 10 of 64 bits. Signatures with one wild bit would then need six
-    segments, whose keys of 9 bits bring every text together with one in 512 others; and any smaller distance loses
-    pairs. So sets this far apart are found through prefixes of the sets themselves, which loses none (`jaccard`).
+    At that similarity two fingerprints differ in about 10 of 64 bits, and no smaller distance holds all pairs, so they
+    are found through prefixes of the sets (`jaccard`), which loses none.
     """
-    return jaccard.one_of_each(docs, key, text)
+
+    def near(texts: DataFrame) -> DataFrame:
+        return texts.select("node", F.col("node").alias("component")).distinct()
+
+    return jaccard.one_of_each(docs, near, key, text)

@@ -111,6 +111,18 @@ def test_near_copies_are_all_those_of_brute_force(spark, monkeypatch, tile):
     assert all(r["text"] == texts[r["doc_id"]] for r in got) and got[0].__fields__ == d.columns
 
 
+def test_texts_that_share_phrases_by_chance_are_no_candidates(spark):
+    # every two of 40 long texts share three phrases; no two are similar, but one shared shingle each would connect them all
+    rng = random.Random(4)
+    phrases = {(i, j): [prose(8, rng) for _ in range(3)] for i in range(40) for j in range(i)}
+    texts = [" ".join(x + f" own{i}n{k}" for k, x in enumerate(x for pair, three in phrases.items() if i in pair for x in three)) for i in range(40)]
+    near = texts[0].split()
+    near[50] = "edit"
+    frame = spark.createDataFrame([(i, t.encode()) for i, t in enumerate([*texts, " ".join(near)])], "node long, text binary")
+    rows = jaccard.shared(jaccard.index(frame))
+    assert {(r["node"], r["component"]) for r in jaccard.clusters(rows).collect()} == {(0, 0), (40, 0)}
+
+
 def test_null_and_repeated_ids_lose_only_copies(spark):
     a, b, c, d, e = (prose(30, random.Random(i)) for i in range(5))
     rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (None, c), (3, e), (9, e + " x"), (None, ""), (None, None)]
