@@ -20,8 +20,9 @@ PROOF = 32
 #: Shared shingles that make two sets a candidate pair, where shingles are in FEW sets; one that more sets have is enough.
 COMMON = 8
 FEW = 8
-#: Sets of a tile; two tiles are compared at a time.
+#: Sets of a tile, and shingles of all its sets (but for a larger set); two tiles are compared at a time.
 TILE = 2048
+WEIGHT = 1 << 20
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -176,10 +177,10 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def places(members: DataFrame, alone: bool) -> DataFrame:
     """Rows (node, component, own, k) of members (node, component, n): a cluster of sets is dealt out in k tiles of about
-    TILE sets, and a set lies in tile `own`. In tiles that stay alone, the least set lies in all: own is -1.
+    TILE sets and WEIGHT shingles, and a set lies in tile `own`. In tiles that stay alone, the least set lies in all: own is -1.
     """
-    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
-    sized = members.join(whole.where("size > 1"), "component").withColumn("k", F.ceil(F.col("size") / TILE).cast("int"))
+    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("node").alias("first"))
+    sized = members.join(whole.where("size > 1"), "component").withColumn("k", F.ceil(F.greatest(F.col("size") / TILE, F.col("weight") / WEIGHT)).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     return sized.select("node", "component", F.when(F.lit(alone) & (F.col("node") == F.col("first")), F.lit(-1)).otherwise(own).alias("own"), "k")
 

@@ -123,6 +123,12 @@ def test_texts_that_share_phrases_by_chance_are_no_candidates(spark):
     assert {(r["node"], r["component"]) for r in jaccard.clusters(rows).collect()} == {(0, 0), (40, 0)}
 
 
+def test_tiles_hold_few_long_texts(spark):
+    members = spark.createDataFrame([(i, 0, 300_000) for i in range(20)] + [(i, 20, 300) for i in range(20, 40)], "node long, component long, n long")
+    k = {(r["component"], r["k"]) for r in jaccard.places(members, False).collect()}
+    assert k == {(0, 6), (20, 1)}
+
+
 def test_null_and_repeated_ids_lose_only_copies(spark):
     a, b, c, d, e = (prose(30, random.Random(i)) for i in range(5))
     rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (None, c), (3, e), (9, e + " x"), (None, ""), (None, None)]
