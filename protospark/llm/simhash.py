@@ -187,14 +187,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return fp.join(named, "fp").select("key", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = jaccard.SHINGLE, distance: int = 5) -> DataFrame:
     """The rows of docs, all columns, that stand for their group at a similarity of 0.8 or more of five-word shingle sets.
 
-    At that similarity two fingerprints differ in about 10 of 64 bits, and no smaller distance holds all pairs, so they
-    are found through prefixes of the sets (`jaccard`), which loses none.
+    Fingerprints of all texts are linked (`near_duplicates`), and the sets of linked texts are compared, which decides.
+    At a similarity of 0.8 two fingerprints differ in about 10 of 64 bits, and no distance holds all pairs; those that
+    fingerprints miss are found through prefixes of the sets (`jaccard`), so that none is lost.
     """
 
     def near(texts: DataFrame) -> DataFrame:
-        return texts.select("node", F.col("node").alias("component")).distinct()
+        return near_duplicates(texts, "node", "text", shingle, distance).select(F.col("key").alias("node"), "component").distinct()
 
     return jaccard.one_of_each(docs, near, key, text)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from protospark.llm import jaccard, packing, queries
+from protospark.llm import jaccard, packing, queries, simhash
 from test_operators import DOCS, packing_holds, prose, slow_hits, slow_print, slow_stats, union
 
 DATA = "/root/testdata/sf0.001"
@@ -129,6 +129,35 @@ def test_tiles_hold_few_long_texts(spark):
     assert k == {(0, 6), (20, 1)}
 
 
+def test_near_copies_go_through_fingerprints_and_sets_decide(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(6):
+        base = prose(80, rng).split()
+        for edits in (0, 1, 2, 5, 30):
+            w = list(base)
+            for at in rng.sample(range(80), edits):
+                w[at] = prose(1, rng) + "x"
+            texts.append(" ".join(w))
+    sets = [five(t) for t in texts]
+    group = union([(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], range(len(texts)))
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], ", ".join(DOCS.split(", ")[:5]))
+    seen, linked = [], simhash.near_duplicates
+
+    def watched(*a):
+        seen.append(linked(*a))
+        return seen[-1]
+
+    def lump(docs, key, *a):
+        return docs.select(F.col(key).alias("key"), F.lit(1).alias("fp"), F.lit(0).cast("long").alias("component"))
+
+    for stand_in in (watched, lump):
+        monkeypatch.setattr(simhash, "near_duplicates", stand_in)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, d, "").collect()) == sorted(set(group.values()))
+    rows = seen[0].collect()
+    assert len(rows) == len(texts) > len({r["component"] for r in rows})
+
+
 def test_null_and_repeated_ids_lose_only_copies(spark):
     a, b, c, d, e = (prose(30, random.Random(i)) for i in range(5))
     rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (None, c), (3, e), (9, e + " x"), (None, ""), (None, None)]
