@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from protospark.functions import dna
 from protospark.operators import annotate, controls, intervals, neighbors, report, scan, scores, targets
+from protospark.plans import catalog
 from protospark.plans.design import Options, attached, flagged_targets, guide_table, nearby, release
 from protospark.sources import genomes
 from protospark.streaming.scan import stream_targets
@@ -58,6 +59,18 @@ def test_scan_is_the_direct_comparison_at_any_chunk_width(spark, pam, three, len
             assert sorted((tuple(r)[1:6] for r in rows if r["record_idx"] == i), key=str) == slow_scan(s, pam, length, three)
 
 
+def plan_of(df):
+    """The physical plan before it is made ready for a run: each operator stands in it once."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_scan_moves_bases_once(spark, tmp_path):
+    frame(spark, [bases(500)]).select(F.col("record_idx").alias("doc_id"), F.col("seq").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("pam_scan_3p", "pam_scan_5p"):
+        x = catalog.QUERIES[name](spark, str(tmp_path))
+        assert plan_of(x).count("Exchange") == 1 and x.count() > 0
+
+
 def test_scan_of_the_opposite_strand_mirrors(spark):
     s = bases(400)
     a, b = (scan.find_targets(frame(spark, [x]), scan.Pam("NGG")).select("target", "strand").collect() for x in (s, dna.reverse_complement_text(s)))
