@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import fixed_texts, texts_of
+
 #: Letters in the order of the position features, and in that of the NGGX features.
 NUCLEOTIDES, NGGX = "ATCG", "ACGT"
 PAIRS = ["".join(p) for p in product(NUCLEOTIDES, repeat=2)]
@@ -24,6 +28,8 @@ INITIAL, TERMINAL_AT = (3.61, -1.5), (3.72, 10.5)
 #: Parts of the 30-mer whose melting temperatures are features.
 SEGMENTS = ((0, 30), (19, 24), (11, 19), (6, 11))
 CFD_LENGTH = 20
+#: Numbers of a 30-mer that the model of the on-target score reads.
+FEATURES = 627
 
 
 def load_weights(path: str) -> dict[str, float]:
@@ -72,61 +78,169 @@ def cfd_scores(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def base_counts(seq: Column) -> list[Column]:
-    return [F.length(F.regexp_replace(seq, f"[^{b}]", "")) for b in NUCLEOTIDES]
+    return [F.length(seq) - F.length(F.replace(seq, F.lit(b), F.lit(""))) for b in NUCLEOTIDES]
 
 
-def pair_counts(seq: Column) -> list[Column]:
-    """Overlapping counts of the 16 two-base words."""
-    words = F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substring(seq, i, F.lit(2)))
-    return [F.size(F.filter(words, _equals(p))) for p in PAIRS]
+#: The place of each letter in NUCLEOTIDES, and one beyond them for all other letters.
+PLACE = np.full(256, len(NUCLEOTIDES), np.uint8)
+PLACE[list(NUCLEOTIDES.encode())] = range(len(NUCLEOTIDES))
+
+
+def _by_length(make: Callable[[np.ndarray], np.ndarray], rows: int, width: int, kind: type, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """`make` of the coded letters of all texts of a length at once, put together as (rows, width), and which texts are known."""
+    text, bounds = texts_of(column)
+    codes, sizes = PLACE[text], np.diff(bounds)
+    known = np.asarray(column.is_valid())
+    if rows and len(codes) and (sizes == sizes[0]).all():
+        return make(codes.reshape(rows, -1)), known
+    out = np.zeros((rows, width), kind)
+    for size in np.unique(sizes):
+        which = np.flatnonzero(sizes == size)
+        out[which] = make(codes[bounds[which][:, None] + np.arange(size)])
+    return out, known
+
+
+def _computed(make: Callable[[np.ndarray], np.ndarray], width: int, kind: type, result: str) -> Callable[[Column], Column]:
+    """A function of texts whose values are computed a batch at a time: `make` turns coded letters (a row per text) into
+    rows of `width` values. result: array<...> for a row's values, string for them as characters, double for the first
+    (null where it is not a number). Null stays null."""
+
+    @F.arrow_udf(result)
+    def values(column: pa.Array) -> pa.Array:
+        found, known = _by_length(make, len(column), width, kind, column)
+        if result == "string":
+            return fixed_texts(found, known)
+        if result == "double":
+            return pa.array(found[:, 0], mask=~known | np.isnan(found[:, 0]))
+        return lists_of(found, known)
+
+    return values
 
 
-def _equals(word: str):
-    return lambda w: w == word
+def lists_of(values: np.ndarray, known: np.ndarray) -> pa.Array:
+    """List column of a matrix, a row each; null where not `known`."""
+    rows, width = values.shape
+    valid = pa.py_buffer(np.packbits(known, bitorder="little"))
+    return pa.ListArray.from_buffers(pa.list_(pa.from_numpy_dtype(values.dtype)), rows, [valid, pa.py_buffer(np.arange(rows + 1, dtype=np.int32) * width)], children=[pa.array(values.ravel())])
 
 
-def one_hot(seq: Column, words: list[str], places: int) -> Column:
-    """Flat array: for each place in turn, a 0 or 1 for each word."""
-    size = len(words[0])
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(places)), lambda i: F.transform(F.array(*[F.lit(w) for w in words]), lambda w: (F.substring(seq, i, F.lit(size)) == w).cast("float"))))
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    """Place in PAIRS of the two-base word at each place, 16 where another letter is in it."""
+    a, b = codes[:, :-1], codes[:, 1:]
+    return np.where((a < 4) & (b < 4), a * np.uint8(4) + b, np.uint8(16))
+
+
+def _hot(words: np.ndarray, kinds: int, places: int, one: int = 1, zero: int = 0, kind: type = np.float32) -> np.ndarray:
+    """Flat rows of `places` x `kinds` values, one where a place has that kind of word; other and missing words have none."""
+    values = np.full((kinds + 1, kinds), zero, kind)
+    np.fill_diagonal(values, one)
+    if words.shape[1] < places:
+        words = np.pad(words, ((0, 0), (0, places - words.shape[1])), constant_values=kinds)
+    return values[words[:, :places]].reshape(len(words), places * kinds)
+
+
+def _counts(words: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each kind of word stands in a row; words beyond `kinds` don't count."""
+    key = np.arange(len(words))[:, None] * (kinds + 1) + words
+    return np.bincount(key.ravel(), minlength=len(words) * (kinds + 1)).reshape(len(words), kinds + 1)[:, :kinds].astype(np.int32)
+
+
+def pair_counts(seq: Column) -> list[Column]:
+    """Overlapping counts of the 16 two-base words."""
+    counts = _computed(lambda codes: _counts(_pairs(codes), 16), 16, np.int32, "array<int>")(seq)
+    return [F.get(counts, F.lit(i)) for i in range(16)]
+
+
+def one_hot(seq: Column, order: int, places: int, text: bool = False) -> Column:
+    """Flat array, or text: for each place in turn, a 0 or 1 for each base (order 1) or word of two (order 2)."""
+    kinds = len(NUCLEOTIDES) ** order
+    how = (ord("1"), ord("0"), np.uint8) if text else (1, 0, np.float32)
+    return _computed(lambda codes: _hot(codes if order == 1 else _pairs(codes), kinds, places, *how), kinds * places, how[2], "string" if text else "array<float>")(seq)
 
 
 def gc_count(seq30: Column) -> Column:
     """G and C in the guide's 20 bases of a 30-mer."""
-    return F.length(F.regexp_replace(F.substring(seq30, 5, 20), "[^GC]", ""))
+    guide = F.substring(seq30, 5, 20)
+    return F.length(guide) - F.length(F.translate(guide, "GC", ""))
+
+
+def _nggx(codes: np.ndarray) -> np.ndarray:
+    """Place in NGGX x NGGX of the base before the motif's GG and the base after it, 16 if there is none."""
+    if codes.shape[1] < 28:
+        return np.full(len(codes), 16, np.int64)
+    turn = np.array([NGGX.index(b) for b in NUCLEOTIDES] + [16])
+    a, b = turn[codes[:, 24]], turn[codes[:, 27]]
+    return np.where((a < 4) & (b < 4), a * 4 + b, 16)
 
 
 def nggx(seq30: Column) -> Column:
     """16 zeros and ones: the base before the motif's GG and the base after it."""
-    words = ["".join(p) for p in product(NGGX, repeat=2)]
-    found = F.concat(F.substring(seq30, 25, 1), F.substring(seq30, 28, 1))
-    return F.transform(F.array(*[F.lit(w) for w in words]), lambda w: (w == found).cast("float"))
+    return _computed(lambda codes: _hot(_nggx(codes)[:, None], 16, 1), 16, np.float32, "array<float>")(seq30)
+
+
+def nggx_place(seq30: Column) -> Column:
+    """The place of the one in `nggx`, from 0; null if there is none."""
+    a, b = (F.instr(F.lit(NGGX), F.substring(seq30, at, 1)) - 1 for at in (25, 28))
+    return F.when(F.length(seq30) >= 28, F.when((a >= 0) & (b >= 0), a * 4 + b))
+
+
+def _melting(codes: np.ndarray) -> np.ndarray:
+    """Melting temperature of each row; not a number with fewer than two bases or another letter."""
+    n = codes.shape[1]
+    if n < 2:
+        return np.full((len(codes), 1), np.nan)
+    pairs, at = _pairs(codes), np.isin(codes[:, [0, -1]], [NUCLEOTIDES.index(b) for b in "AT"]).sum(axis=1)
+    totals = []
+    for k in range(2):
+        stacks = np.array([STACKS[p][k] for p in PAIRS] + [np.nan])
+        total = INITIAL[k] + at * TERMINAL_AT[k]
+        for i in range(n - 1):  # in turn, as a sum of doubles depends on its order
+            total = total + stacks[pairs[:, i]]
+        totals.append(total)
+    entropy = totals[1] + 0.368 * (n - 1) * math.log(0.05)
+    return (1000 * totals[0] / (entropy + 1.987 * math.log(12.5e-9)) - 273.15)[:, None]
 
 
 def melting(seq: Column) -> Column:
     """Nearest-neighbour melting temperature (Celsius) of an RNA duplex, 50 mM salt and 25 nM of each strand."""
-    h = F.create_map(*[F.lit(x) for k, v in STACKS.items() for x in (k, v[0])])
-    s = F.create_map(*[F.lit(x) for k, v in STACKS.items() for x in (k, v[1])])
-    words = F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substring(seq, i, F.lit(2)))
-    ends = sum(F.substring(seq, i, 1).isin("A", "T").cast("double") for i in (1, -1))
-    total = lambda table, k: F.aggregate(words, F.lit(INITIAL[k]) + ends * TERMINAL_AT[k], lambda a, w: a + F.try_element_at(table, w))
-    entropy = total(s, 1) + 0.368 * (F.length(seq) - 1) * F.log(F.lit(0.05))
-    return 1000 * total(h, 0) / (entropy + 1.987 * F.log(F.lit(12.5e-9))) - 273.15
+    return _computed(_melting, 1, np.float64, "double")(seq)
 
 
-def on_target_features(seq30: Column) -> Column:
-    """The 627 numbers of a 30-mer in the model's order; null unless it has 30 bases of ACGT and GG at places 26 and 27."""
-    gc = gc_count(seq30)
+def _features(codes: np.ndarray) -> np.ndarray:
+    """The 627 numbers of 30-mers that hold the four bases only."""
+    pairs = _pairs(codes)
+    gc = np.isin(codes[:, 4:24], [NUCLEOTIDES.index(b) for b in "GC"]).sum(axis=1)
     parts = [
-        one_hot(seq30, list(NUCLEOTIDES), 30),
-        F.array(*[c.cast("float") for c in base_counts(seq30)]),
-        one_hot(seq30, PAIRS, 29),
-        F.array(*[c.cast("float") for c in pair_counts(seq30)]),
-        F.array((gc > 10).cast("float"), (gc < 10).cast("float"), gc.cast("float")),
-        nggx(seq30),
-        F.array(*[melting(F.substring(seq30, a + 1, b - a)).cast("float") for a, b in SEGMENTS]),
+        _hot(codes, 4, 30),
+        _counts(codes, 4),
+        _hot(pairs, 16, 29),
+        _counts(pairs, 16),
+        np.stack([gc > 10, gc < 10, gc], axis=1),
+        _hot(_nggx(codes)[:, None], 16, 1),
+        *[_melting(codes[:, a:b]) for a, b in SEGMENTS],
     ]
-    return F.when(seq30.rlike("^[ACGT]{25}GG[ACGT]{3}$"), F.concat(*parts))
+    out, at = np.empty((len(codes), FEATURES), np.float32), 0
+    for part in parts:
+        out[:, at : at + part.shape[1]] = part
+        at += part.shape[1]
+    return out
+
+
+def on_target_features(seq30: Column) -> Column:
+    """The 627 numbers of a 30-mer in the model's order; null unless it has 30 bases of ACGT and GG at places 26 and 27."""
+
+    @F.arrow_udf("array<float>")
+    def features(column: pa.Array) -> pa.Array:
+        text, bounds = texts_of(column)
+        fit = np.asarray(column.is_valid()) & (np.diff(bounds) == 30)
+        codes = np.zeros((len(column), 30), np.uint8)
+        codes[fit] = PLACE[text][bounds[:-1][fit][:, None] + np.arange(30)]
+        fit &= (codes < 4).all(axis=1) & (codes[:, 25:27] == NUCLEOTIDES.index("G")).all(axis=1)
+        out = np.zeros((len(column), FEATURES), np.float32)
+        out[fit] = _features(codes[fit])
+        return lists_of(out, fit)
+
+    return features(seq30)
 
 
 def on_target_scores(table: DataFrame, model: str | None, column: str = "target_seq30", pam: str = "NGG", orientation: str = "3prime", length: int = 20) -> DataFrame:

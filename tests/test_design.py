@@ -222,6 +222,42 @@ def test_on_target_features(spark):
     assert {(r["Efficiency"], r["efficiency_status"]) for r in out} == {(None, "no model")}
 
 
+def test_features_of_texts_of_any_length(spark):
+    """Features that are computed a batch at a time, for texts of several lengths, with other letters, and for none."""
+    texts = [bases(30), bases(30), bases(12), "A", "", "ACGN" * 7 + "AA", "A" * 30, None, bases(40)]
+    t = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string").coalesce(1)
+    s = F.col("s")
+    x = t.select("i", "s", scores.melting(s).alias("tm"), F.array(*scores.pair_counts(s)).alias("pairs"), scores.one_hot(s, 1, 30).alias("hot"), scores.one_hot(s, 2, 29, text=True).alias("words"), scores.nggx(s).alias("nggx"), scores.nggx_place(s).alias("place"), scores.gc_count(s).alias("gc"), F.array(*scores.base_counts(s)).alias("n"))
+    for r in x.collect():
+        text = r["s"]
+        if text is None:
+            assert all(r[c] is None for c in ("tm", "hot", "words", "nggx", "place"))
+            continue
+        steps = [text[k : k + 2] for k in range(len(text) - 1)]
+        assert r["pairs"] == [steps.count(p) for p in scores.PAIRS] and r["n"] == [text.count(b) for b in "ATCG"]
+        assert r["hot"] == [float(text[k : k + 1] == b) for k in range(30) for b in "ATCG"]
+        assert r["words"] == "".join(str(int(text[k : k + 2] == p)) for k in range(29) for p in scores.PAIRS)
+        ends = text[24:25] + text[27:28]
+        place = ["".join(p) for p in product("ACGT", repeat=2)].index(ends) if len(ends) == 2 and "N" not in ends else None
+        assert r["place"] == place and r["nggx"] == [float(k == place) for k in range(16)] and r["gc"] == sum(c in "GC" for c in text[4:24])
+        assert (r["tm"] is None) == (not steps or "N" in text)
+        if steps and "N" not in text:
+            ends = sum(text[k] in "AT" for k in (0, -1))
+            h, e = (scores.INITIAL[k] + ends * scores.TERMINAL_AT[k] + sum(scores.STACKS[w][k] for w in steps) for k in (0, 1))
+            assert r["tm"] == pytest.approx(1000 * h / (e + 0.368 * len(steps) * math.log(0.05) + 1.987 * math.log(12.5e-9)) - 273.15, abs=1e-9)
+
+
+def test_features_take_no_expression_per_letter(spark):
+    """Lambda functions of Spark are interpreted for each element: 16 to 464 of them a row."""
+    t = spark.createDataFrame([(bases(30),)], "s string")
+    s = F.col("s")
+    for made in ([scores.on_target_features(s)], scores.pair_counts(s), [scores.melting(s)], [scores.one_hot(s, 2, 29, text=True)], [scores.nggx(s)], [scores.nggx_place(s)]):
+        assert "lambda" not in plan_of(t.select(*made))
+    for name in ("on_target_features", "dinuc_counts", "onehot_order1", "onehot_order2", "nggx", "tm_features", "tm_segments"):
+        plan = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "lambda" not in plan.split("MapInArrow find")[0] and "REPARTITION_BY_NUM" not in plan
+
+
 def test_controls(spark):
     seqs = frame(spark, [bases(900)])
     found = scan.find_targets(seqs, scan.Pam("NGG"))
