@@ -59,9 +59,11 @@ def density(places: DataFrame, points: int = 200) -> DataFrame:
     grid = places.groupBy("chrom").agg(F.max("extent").alias("extent"), F.count(F.lit(1)).alias("n"))
     grid = grid.withColumn("h", F.greatest(F.lit(1.0), F.round(F.col("extent") / 200))).withColumn("step", F.greatest((F.col("extent") - 1) / (points - 1), F.lit(1e-9)))
     counted = places.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(grid), "chrom")
-    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - 5 * F.col("h") - 1) / F.col("step")))
-    last = F.least(F.lit(points - 1), F.floor((F.col("pos") + 5 * F.col("h") - 1) / F.col("step")))
+    # a grid point at exactly five bandwidths belongs to them, which a quotient's rounding may miss: so one more on each side is tested
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - 5 * F.col("h") - 1) / F.col("step")) - 1)
+    last = F.least(F.lit(points - 1), F.floor((F.col("pos") + 5 * F.col("h") - 1) / F.col("step")) + 1)
     x = counted.where(first <= last).withColumn("k", F.explode(F.sequence(first, last))).withColumn("x", 1 + F.col("k") * F.col("step"))
+    x = x.where(F.abs(F.col("x") - F.col("pos")) <= 5 * F.col("h"))
     z = (F.col("x") - F.col("pos")) / F.col("h")
     kernel = F.exp(-z * z / 2) / (F.col("h") * math.sqrt(2 * math.pi))
     return x.groupBy("chrom", "x").agg((F.sum(F.col("c") * kernel) / F.first("n")).alias("density"))

@@ -258,6 +258,14 @@ def test_features_take_no_expression_per_letter(spark):
         assert "lambda" not in plan.split("MapInArrow find")[0] and "REPARTITION_BY_NUM" not in plan
 
 
+def test_density_takes_places_within_five_bandwidths_only(spark):
+    """Places on the very edge: a quotient's rounding let in grid points that lie just beyond."""
+    places = [(f"c{extent}", pos, extent) for extent, pos in ((188, 183), (207, 202), (356, 346), (375, 365), (300, 150))]
+    found = report.density(spark.createDataFrame(places, "chrom string, pos int, extent int"), 20)
+    wanted = {(c, x) for c, pos, extent in places for x in (1 + k * ((extent - 1) / 19) for k in range(20)) if abs(x - pos) <= 5 * max(1, math.floor(extent / 200 + 0.5))}
+    assert {(r["chrom"], r["x"]) for r in found.collect()} == wanted
+
+
 def test_controls(spark):
     seqs = frame(spark, [bases(900)])
     found = scan.find_targets(seqs, scan.Pam("NGG"))
