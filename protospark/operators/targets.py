@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,47 @@ def flag_seeds(targets: DataFrame, lsr: int, orientation: str, strict: bool = Fa
     return x.withColumn("isseedduplicated", duplicated).drop("_seed", "_first", "_n")
 
 
+def first_of_seeds(targets: DataFrame, lsr: int, orientation: str, strict: bool = False) -> DataFrame:
+    """The rows that `flag_seeds` does not flag, with its columns, without the others: the first row of each seed.
+
+    Rows of a seed are put together before the shuffle, some 2^20 rows at a time, and again after it, so all rows are
+    read once and neither kept nor joined.
+    """
+    x = targets.withColumn("seedseq", seed(F.col("target"), lsr, orientation)).withColumn("_n", F.lit(1).cast("long"))
+    row = F.struct("record_idx", (~F.col("strand")).cast("int").alias("strand_order"), "start", F.struct(*targets.columns).alias("row"))
+    x = x.mapInArrow(_combined, x.schema).repartition("seedseq").groupBy("seedseq").agg(F.min(row).alias("first"), F.sum("_n").alias("_n"))
+    if strict:
+        x = x.where("_n = 1")
+    return x.select("first.row.*", "seedseq", F.lit(False).alias("isseedduplicated"))
+
+
+def _combined(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= at_once:
+            held = _firsts(held)
+            rows = sum(map(len, held))
+            if rows > at_once // 2:  # too many seeds to go on with
+                yield from held
+                held, rows = [], 0
+    if rows:
+        yield from _firsts(held)
+
+
+def _firsts(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """The first row of each seed, and as its _n the sum of those of the seed's rows."""
+    x = pa.Table.from_batches(batches).combine_chunks()
+    seeds = np.asarray(x.column("seedseq").combine_chunks().dictionary_encode().indices)
+    order = np.lexsort((np.asarray(x.column("start")), ~np.asarray(x.column("strand")), np.asarray(x.column("record_idx")), seeds))
+    begins = np.flatnonzero(np.append(True, seeds[order][1:] != seeds[order][:-1]))
+    n = np.add.reduceat(np.asarray(x.column("_n"))[order], begins)
+    out = x.take(pa.array(order[begins]))
+    return out.set_column(out.schema.get_field_index("_n"), "_n", pa.array(n)).combine_chunks().to_batches()
+
+
 def export_bed(targets: DataFrame) -> DataFrame:
     """Seed-unique guides as (chrom, chromstart, chromend, name, strand)."""
     strand = F.when(F.col("strand"), "+").otherwise("-")

@@ -75,6 +75,18 @@ def flagged_targets(sequences: DataFrame, o: Options) -> DataFrame:
     return targets.flag_seeds(found, o.lsr, o.orientation, o.strict_seeds).withColumn("dtype", F.lit(o.dtype))
 
 
+def unique_targets(sequences: DataFrame, o: Options) -> DataFrame:
+    """Those of `flagged_targets` whose seed is not a repeat. Only they are kept, not the scan, which may be many times larger than its input."""
+    return held(_unique(scan.find_targets(sequences, scan.Pam(o.pam, o.orientation, o.dtype), o.length), o))
+
+
+def _unique(found: DataFrame, o: Options) -> DataFrame:
+    found = targets.flag_restriction_sites(found, list(o.enzymes))
+    if o.drop_sites:
+        found = targets.drop_restriction_sites(found)
+    return targets.first_of_seeds(found, o.lsr, o.orientation, o.strict_seeds).withColumn("dtype", F.lit(o.dtype))
+
+
 def guide_key() -> Column:
     """A guide's place, which is unique: record, strand and start. Records of one name are told apart by record_idx."""
     return F.struct("record_idx", "seqid", "start", "strand")

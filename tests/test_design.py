@@ -9,13 +9,14 @@ import struct
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from protospark.functions import dna
 from protospark.operators import annotate, controls, intervals, neighbors, report, scan, scores, targets
 from protospark.plans import catalog
-from protospark.plans.design import Options, attached, flagged_targets, guide_table, nearby, release
+from protospark.plans.design import Options, attached, flagged_targets, guide_table, nearby, release, unique_targets
 from protospark.sources import genomes
 from protospark.streaming.scan import stream_targets
 
@@ -109,6 +110,30 @@ def test_seeds_and_sites(spark):
     assert targets.raw_guides(y).columns == ["Chromosome", "Start", "Stop", "gRNA", "Strand"]
 
 
+@pytest.mark.parametrize("orientation,lsr,strict", [("3prime", 3, False), ("5prime", 4, True), ("3prime", 0, False)])
+def test_first_of_seeds_is_what_the_flag_leaves(spark, orientation, lsr, strict):
+    found = scan.find_targets(frame(spark, [bases(900), bases(900), "ACGTTGCAGG" * 30]), scan.Pam("NGG", orientation), 12).repartition(3)
+    wanted = targets.flag_seeds(found, lsr, orientation, strict).where("not isseedduplicated")
+    x = targets.first_of_seeds(found, lsr, orientation, strict)
+    assert sorted(x.select(*wanted.columns).collect(), key=str) == sorted(wanted.collect(), key=str) != []
+    assert "Join" not in plan_of(x)  # what joins reads the scan twice, or keeps it
+    batches = pa.Table.from_pylist([{"seedseq": s, "record_idx": 0, "strand": True, "start": i, "_n": 1} for i, s in enumerate("ABACABADCB")]).to_batches(max_chunksize=2)
+    for at_once in (1, 4, 100):
+        some = pa.Table.from_batches(targets._combined(iter(batches), at_once)).to_pylist()
+        assert {s: min(r["start"] for r in some if r["seedseq"] == s) for s in "ABCD"} == {"A": 0, "B": 1, "C": 3, "D": 7} and sum(r["_n"] for r in some) == 10
+
+
+def test_unique_targets_keep_no_scan(spark):
+    release()
+    seqs = frame(spark, [bases(900)])
+    for o in (Options(), Options(enzymes=("NGRT",), drop_sites=True), Options(strict_seeds=True, lsr=4)):
+        wanted = flagged_targets(seqs, o).where("not isseedduplicated")
+        x = unique_targets(seqs, o)
+        assert sorted(x.select(*wanted.columns).collect()) == sorted(wanted.collect()) != []
+        assert x.storageLevel.useMemory
+    release()
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
