@@ -210,6 +210,19 @@ def test_nearest_is_the_quadratic_form(spark, width):
     assert found == {i: w for i, x in enumerate(guides) if (w := slow_nearest(x, feats))}
 
 
+def features_read(df):
+    return sum("ExistingRDD" in line and "fe#" in line for line in plan_of(df).splitlines())
+
+
+def test_nearest_deals_features_once(spark):
+    g = spark.createDataFrame([("c", 5, 25, 1)], "chrom string, gs int, ge int, id int")
+    f = spark.createDataFrame([("c", 9, 20, "f")], "chrom string, fs int, fe int, feature string")
+    x = intervals.nearest(g, f)
+    assert 1 <= features_read(x) <= 2  # once to be dealt by bin, once for the edges of bins
+    assert sorted((r["direction"], r["feature"], r["distance"]) for r in x.collect()) == [("downstream", "f", 0), ("upstream", "f", 0)]
+    assert x.schema["fs"].dataType.simpleString() == "int"
+
+
 def test_positional_filter(spark):
     rows = [(s, s + 20, gs, 500, 600, fs) for s in range(350, 760, 3) for gs in "+-" for fs in "+-"]
     x = spark.createDataFrame(rows, "gs int, ge int, gstrand string, fs int, fe int, fstrand string").withColumn("distance", intervals.distance())
