@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from protospark.functions import dna
 from protospark.operators import annotate, controls, intervals, neighbors, report, scan, scores, targets
-from protospark.plans import catalog
+from protospark.plans import catalog, design
 from protospark.plans.design import Options, attached, flagged_targets, guide_table, nearby, release, unique_targets
 from protospark.sources import genomes
 from protospark.streaming.scan import stream_targets
@@ -188,6 +188,22 @@ def test_close_pairs_and_min_distance(spark):
     assert neighbors.keep_distant(alone, 5).count() == 1
 
 
+def test_a_pool_is_dealt_to_few_tiles_of_queries(spark):
+    """Copies of the pool are what a search writes to disk: 62 here with tiles of 2^14 queries."""
+    q, p = (spark.range(n).select(F.col("id").alias("code")) for n in (1_000_000, 1000))
+    rows = neighbors._meet(q, p, ["code"], neighbors.ASKING, neighbors.POOL).agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("b")).agg(F.sum("a"), F.sum("b")).first()
+    assert rows[0] == 1_000_000 and rows[1] <= 16 * 1000
+
+
+def test_a_guide_table_keeps_no_scan(spark):
+    release()
+    seqs = frame(spark, [bases(900)])
+    f = spark.createDataFrame([("s0", 300, 400, "+", "f")], "chrom string, fs int, fe int, fstrand string, feature string")
+    guide_table(seqs, f, None, Options())
+    assert design._kept and not [x for x in design._kept if "target_seq30" in x.columns and "seedseq" not in x.columns]
+    release()
+
+
 def slow_nearest(g, feats):
     d = lambda f: f[0] - g[1] + 1 if f[0] >= g[1] else -(g[0] - f[1] + 1) if f[1] <= g[0] else 0
     up = min(((-d(f), f) for f in feats if d(f) <= 0), default=None)
