@@ -83,8 +83,8 @@ def _firsts(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     order = np.lexsort((np.asarray(x.column("start")), ~np.asarray(x.column("strand")), np.asarray(x.column("record_idx")), seeds))
     begins = np.flatnonzero(np.append(True, seeds[order][1:] != seeds[order][:-1]))
     n = np.add.reduceat(np.asarray(x.column("_n"))[order], begins)
-    out = x.take(pa.array(order[begins]))
-    return out.set_column(out.schema.get_field_index("_n"), "_n", pa.array(n)).combine_chunks().to_batches()
+    out, at = x.take(pa.array(order[begins])), x.schema.get_field_index("_n")
+    return out.set_column(at, x.schema.field(at), pa.array(n, pa.int64())).combine_chunks().to_batches()
 
 
 def export_bed(targets: DataFrame) -> DataFrame:
